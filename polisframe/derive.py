@@ -62,30 +62,33 @@ def _schema_doc(properties) -> str | None:
 
 
 def city_model(spark: SparkSession, sf_dir: str) -> CityModel:
-    """The whole derived model, lazily: nothing is read until a table is used."""
-    prepare(spark)
+    """The whole derived model, lazily: nothing is read until a table is used.
+
+    The plans of one session and folder are built once and shared; they hold no data.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = _build(prepare(spark), sf_dir)
+    return _MODELS[key]
+
+
+_MODELS: dict[tuple, CityModel] = {}
+
+
+def _build(spark: SparkSession, sf_dir: str) -> CityModel:
     source = _Source(spark, sf_dir)
+    frame = lambda rows, name: lambda: spark.createDataFrame(rows, SCHEMAS[name])
     return CityModel(spark, {
-        "ade": spark.createDataFrame([(1, "trade", "Trade objects", "1.0")], SCHEMAS["ade"]),
-        "namespace": spark.createDataFrame(NAMESPACES, SCHEMAS["namespace"]),
-        "datatype": spark.createDataFrame(
-            [(i, s, n, 0, ns, _schema_doc(p)) for i, s, n, ns, p in _DATATYPES], SCHEMAS["datatype"]),
-        "objectclass": spark.createDataFrame(
-            [(i, s, n, a, t, 2, tab, _schema_doc(p)) for i, s, n, a, t, tab, p in _CLASSES],
-            SCHEMAS["objectclass"]),
-        "codelist": source.codelist(),
-        "codelist_entry": source.codelist_entry(),
-        "feature": source.feature(),
-        "property": source.property(),
-        "geometry_data": source.geometry_data(),
-        "implicit_geometry": source.implicit_geometry(),
-        "address": source.address(),
-        "appearance": source.appearance(),
-        "tex_image": source.tex_image(),
-        "surface_data": source.surface_data(),
-        "surface_data_mapping": source.surface_data_mapping(),
-        "appear_to_surface_data": source.appear_to_surface_data(),
-        "feature_changelog": source.feature_changelog(),
+        "ade": frame([(1, "trade", "Trade objects", "1.0")], "ade"),
+        "namespace": frame(NAMESPACES, "namespace"),
+        "datatype": frame([(i, s, n, 0, ns, _schema_doc(p)) for i, s, n, ns, p in _DATATYPES], "datatype"),
+        "objectclass": frame([(i, s, n, a, t, 2, tab, _schema_doc(p)) for i, s, n, a, t, tab, p in _CLASSES],
+                             "objectclass"),
+        **{name: getattr(source, name) for name in (
+            "codelist", "codelist_entry", "feature", "property", "geometry_data", "implicit_geometry", "address",
+            "appearance", "tex_image", "surface_data", "surface_data_mapping", "appear_to_surface_data",
+            "feature_changelog")},
     })
 
 
@@ -132,8 +135,9 @@ def box(k: Column, shift: Column | int = 0, size_x: int = 1009, size_y: int = 99
 def _fill(df: DataFrame, table: str, **columns: Column) -> DataFrame:
     """Select a table's columns in schema order, nulls for those not given."""
     types = dict(part.strip().split(" ", 1) for part in _split_schema(SCHEMAS[table]))
-    return df.select(*[
-        (columns[n].cast(t) if n in columns else F.lit(None).cast(t)).alias(n) for n, t in types.items()
+    given = df.select(*[c.alias(f"_{n}") for n, c in columns.items()])
+    return given.selectExpr(*[
+        f"cast({f'_{n}' if n in columns else 'null'} as {t}) as {n}" for n, t in types.items()
     ])
 
 

@@ -81,10 +81,13 @@ class ModelError(ValueError):
 
 @dataclass
 class CityModel:
-    """The tables of one city model as DataFrames; a table not given is empty."""
+    """The tables of one city model as DataFrames; a table not given is empty.
+
+    A table may be given as a function without arguments, which is called when the table is first used.
+    """
 
     spark: SparkSession
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict = field(default_factory=dict)
     _registry: "TypeRegistry | None" = None
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -95,11 +98,13 @@ class CityModel:
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
             self.tables[name] = empty_frame(self.spark, SCHEMAS[name])
+        elif not isinstance(self.tables[name], DataFrame):
+            self.tables[name] = self.tables[name]()
         return self.tables[name]
 
     def replace(self, **tables: DataFrame) -> "CityModel":
         """A model with some tables exchanged; this one is left as it is."""
-        return CityModel(self.spark, {**self.tables, **tables}, self._registry)
+        return CityModel(self.spark, {**self.tables, **tables}, self.types if self.tables else None)
 
     @property
     def types(self) -> "TypeRegistry":

@@ -75,7 +75,7 @@ def main():
             problem = f"{type(e).__name__}: {str(e)[:700]}"
         bad += bool(problem)
         took = time.time() - start
-        if problem or took > 3:
+        if problem or took > 5:
             print(f"{name:35s} {took:6.1f}s {problem or 'ok'}", flush=True)
     print(f"done, {bad} bad")
 
