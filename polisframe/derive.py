@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polisframe.model import CONTAINS, RELATES, SCHEMAS, CityModel
-from polisframe.runtime import prepare
+from polisframe.runtime import local_frame, prepare
 
 NAMESPACES = [(1, "core", "http://example.org/core", None), (2, "own", "http://example.org/own", 1),
               (3, "gen", "http://example.org/generics", None)]
@@ -78,7 +78,7 @@ _MODELS: dict[tuple, CityModel] = {}
 
 def _build(spark: SparkSession, sf_dir: str) -> CityModel:
     source = _Source(spark, sf_dir)
-    frame = lambda rows, name: lambda: spark.createDataFrame(rows, SCHEMAS[name])
+    frame = lambda rows, name: lambda: local_frame(spark, rows, SCHEMAS[name])
     return CityModel(spark, {
         "ade": frame([(1, "trade", "Trade objects", "1.0")], "ade"),
         "namespace": frame(NAMESPACES, "namespace"),

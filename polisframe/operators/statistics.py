@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from polisframe.functions import envelope as env
 from polisframe.model import SCHEMAS, CityModel, ModelError
+from polisframe.runtime import local_frame
 
 NO_THEME = "<none>"
 
@@ -129,7 +130,7 @@ def generic_attributes(m: CityModel, scope: str = "all") -> DataFrame:
                 for p in m.types._declared(c).values()]
     if not declared:
         return found
-    known = m.spark.createDataFrame(declared, "objectclass_id int, name string")
+    known = local_frame(m.spark, declared, "objectclass_id int, name string")
     return found.join(known, ["objectclass_id", "name"], "left_anti")
 
 

@@ -10,6 +10,7 @@ from polisframe.functions import temporal as tm
 from polisframe.operators import query as oq
 from polisframe.operators.query import FeatureQuery, Step
 from polisframe.plans.registry import query
+from polisframe.runtime import local_frame
 
 
 def fmt(column: str):
@@ -39,7 +40,7 @@ query("subtype_closure", """WITH closure AS (SELECT id AS ancestor, id FROM obje
     SELECT a.classname AS ancestor, count(*) AS n FROM closure JOIN objectclass a ON a.id = closure.ancestor
     JOIN feature f ON f.objectclass_id = closure.id GROUP BY 1""", recursive=True)(
     lambda m: m.feature.select("objectclass_id").join(
-        m.spark.createDataFrame([(a["classname"], c["id"]) for c in m.types.classes.values()
+        local_frame(m.spark, [(a["classname"], c["id"]) for c in m.types.classes.values()
                                  for a in m.types.ancestors(c["id"])], "ancestor string, objectclass_id int"),
         "objectclass_id").groupBy("ancestor").agg(F.count("*").alias("n")))
 query("lookup_type", "SELECT classname, count(*) AS n FROM feature f JOIN objectclass c ON c.id = objectclass_id "

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Above this many rows (offset + limit) a page is cut by distributed row numbers
 #: instead of Spark's single-task top-k merge.
@@ -47,8 +50,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small catalogue frame as a local relation: its size is known to the planner and no Python worker is needed."""
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), schema)
+
+
 def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return local_frame(spark, [], schema)
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", start: int = 1,
@@ -82,7 +92,7 @@ def _with_offsets(numbered: DataFrame, name: str, start: int) -> DataFrame:
         total += row["count"]
     if not offsets:
         return numbered.withColumn(name, F.lit(None).cast("bigint")).drop("_mono")
-    table = spark.createDataFrame(list(offsets.items()), "_part int, _offset bigint")
+    table = local_frame(spark, list(offsets.items()), "_part int, _offset bigint")
     return (
         numbered.withColumn("_part", part.cast("int"))
         .join(F.broadcast(table), "_part")
