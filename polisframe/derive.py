@@ -253,6 +253,11 @@ class _Source:
     # -- the other tables
 
     def geometry_data(self) -> DataFrame:
+        """Rectangles from the envelopes.
+
+        The always true test on a row number keeps the optimiser from copying the coordinate expressions into every
+        predicate and union branch; a stored geometry table has no such expressions.
+        """
         boxed = self.feature().where("envelope is not null")
         key = F.shiftright("id", 6)
         point = lambda x, y, z: F.when(
@@ -271,7 +276,7 @@ class _Source:
             .otherwise(F.array(node(9, "", None, None), node(6, "_h", 0, None), node(5, "_s0", 1, 0))))
         return _fill(boxed, "geometry_data", id=F.col("id"), feature_id=F.col("id"),
                      geometry_type=F.when(kind == 0, 5).when(kind == 1, 8).otherwise(9),
-                     nodes=nodes, primitives=F.array(F.array(ring)))
+                     nodes=nodes, primitives=F.when(F.monotonically_increasing_id() >= 0, F.array(F.array(ring))))
 
     def implicit_geometry(self) -> DataFrame:
         sizes = self.part.select(((F.col("p_partkey") % 50) + 1).alias("tid")).distinct()
