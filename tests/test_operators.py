@@ -318,7 +318,7 @@ def _crowd(kind, n, seed):
 @pytest.mark.parametrize("kind", ["spot", "strips", "grid", "even"])
 def test_clusters_match_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(regions, "LEAF", 4)
-    boxes = _crowd(kind, 150, 7)
+    boxes = _crowd(kind, 80, 7)
     df = spark.createDataFrame(boxes, "id bigint, xmin double, ymin double, xmax double, ymax double")
     members, pieces = regions.cluster_boxes(df)
     got = {r.id: (r.cluster_id, r.region_id) for r in members.collect()}
