@@ -275,8 +275,9 @@ def merge_load(m: CityModel, incoming: CityModel, mode: str, now: Column, previe
         base, _ = removal.terminate(m, duplicates.select("id"), now, preview=preview)
     elif mode != "import_all":
         raise ModelError(f"unknown import mode {mode!r}")
-    counts = duplicates.agg(F.count("*").alias("duplicates")).crossJoin(  # two one-row frames
-        added.feature.agg(F.count("*").alias("added")))
+    tally = lambda df, d, a: df.select(F.lit(d).alias("duplicates"), F.lit(a).alias("added"))
+    counts = tally(duplicates, 1, 0).unionByName(tally(added.feature, 0, 1)).agg(
+        F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"))
     if preview:
         return m, counts
     merged = {}

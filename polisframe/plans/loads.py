@@ -10,9 +10,6 @@ from polisframe.operators.hierarchy import closure, contains_edges
 from polisframe.plans.hierarchies import tree
 from polisframe.plans.registry import query
 
-_NOW = F.lit
-
-
 def now():
     return F.lit(dt.datetime(2024, 6, 1))
 
@@ -21,11 +18,10 @@ def incoming(m):
     """A second delivery: the orders of even key again, and new ones beyond the stored keys."""
     orders = m.feature.where("objectclass_id = 20")
     again = orders.where(F.shiftright("id", 6) % 2 == 0)
-    top = orders.agg(F.max("id").alias("top"))
+    top = orders.agg(F.max("id")).first()[0]
     new = orders.where(F.shiftright("id", 6) % 3 == 0).withColumn("objectid", F.concat(F.lit("N"), "objectid"))
-    return again.unionByName(new).crossJoin(F.broadcast(top)).withColumn(  # one-row side
-        "id", F.col("id") + (F.shiftright("top", 6) + 1) * 64 + F.when(F.col("objectid").startswith("N"), 1).otherwise(0)
-    ).drop("top")
+    return again.unionByName(new).withColumn(
+        "id", F.col("id") + (top // 64 + 1) * 64 + F.when(F.col("objectid").startswith("N"), 1).otherwise(0))
 
 
 _IN = """incoming AS (SELECT objectid, termination_date FROM feature WHERE objectclass_id = 20 AND (id // 64) % 2 = 0

@@ -86,6 +86,21 @@ def test_citygml(spark, m, tmp_path):
     assert back.count() == 8 and back.where("classname not in ('Customer', 'Supplier')").count() == 0
 
 
+def test_standard_catalogue(spark, tmp_path):
+    from polisframe.catalog import standard_catalogue
+    (tmp_path / "a.gml").write_text(GML)
+    known = standard_catalogue(spark)
+    names = lambda ids: {known.types.classes[i]["classname"] for i in ids}
+    assert names(known.types.feature_class_ids(["AbstractBuilding"])) == {"Building", "BuildingPart"}
+    assert known.types.common_supertype(["RoofSurface", "WindowSurface"])["classname"] == "AbstractThematicSurface"
+    out = ld.shred(cityjson.with_classes(citygml.read_citygml(spark, str(tmp_path / "a.gml")), known), known)
+    found = FeatureQuery(out, ["Building"])
+    from polisframe.functions import scalar as s
+    from polisframe.operators.query import Step
+    hit = found.where(s.compare(found.path(Step("measuredHeight", cast="double")), ">", 12)).result("objectid")
+    assert [r.objectid for r in hit.collect()] == ["B1"]
+
+
 def test_model_directory_and_tiles(spark, m, tmp_path):
     tables.write_model(m, str(tmp_path / "v1"), ["feature", "property"])
     back = tables.read_model(spark, str(tmp_path / "v1"), ["feature", "property"])
