@@ -11,6 +11,8 @@ are made just for windows around such shingles; the minima are a short fixed lis
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +44,38 @@ def _shingles(words: Column) -> Column:
     return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, SHINGLE)]))
 
 
+def _order(j: int) -> Callable[[Column], Column]:
+    """The j-th order of shingles."""
+    return lambda h: F.xxhash64(h, F.lit(j))
+
+
+def _least(shingles: Column, j: int) -> Column:
+    """The shingle that comes first in the j-th order."""
+    placed = F.transform(shingles, lambda h: F.struct(_order(j)(h).alias("o"), h.alias("h")))
+    return F.array_min(placed)["h"]
+
+
+def _starts(hits: Column, size: int, minima: list[int], highest: Column) -> Column:
+    """(start, size) of the windows of ``size`` shingles around those in ``minima``."""
+    own = F.filter(hits, lambda x: x["h"].isin(minima))
+    around = F.flatten(F.transform(own, lambda x: F.sequence(F.greatest(x["i"] - (size - 1), F.lit(0)), x["i"])))
+    inside = F.array_distinct(F.filter(around, lambda s: s <= highest))
+    return F.transform(inside, lambda s: F.struct(s.alias("start"), F.lit(size).alias("size")))
+
+
 def _minima(shingles: Column) -> list[Column]:
-    return [F.array_min(F.transform(shingles, lambda h, j=j: F.xxhash64(h, F.lit(j)))) for j in range(BANDS * ROWS)]
+    return [F.array_min(F.transform(shingles, _order(j))) for j in range(BANDS * ROWS)]
 
 
 def _bands(minima: list[Column]) -> Column:
     return F.array(*[F.xxhash64(*minima[ROWS * b:ROWS * (b + 1)], F.lit(b)) for b in range(BANDS)])
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: filters on it stay above, instead of computing it anew inside lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _templates(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -> DataFrame:
     """(license_id, shingles, size) of the fixed table."""
     values = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in templates])
@@ -68,30 +94,21 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     Templates of fewer than five words have no shingle and match nothing.
     """
     known = _templates(docs, templates)
-    listed = known.withColumn("minima", F.array(*[
-        F.element_at(F.array_sort(F.transform("shingles", lambda h, j=j: F.struct(F.xxhash64(h, F.lit(j)).alias("o"), h.alias("h")))), 1)["h"]
-        for j in range(BANDS * ROWS)])).groupBy("size").agg(F.array_distinct(F.flatten(F.collect_set("minima"))).alias("minima")).collect()
-    if not listed:  # one row per template size
-        listed = []
+    chosen = F.array(*[_least(F.col("shingles"), j) for j in range(BANDS * ROWS)])
+    listed = known.groupBy("size").agg(F.array_distinct(F.flatten(F.collect_set(chosen))).alias("minima")).collect()  # a row per template size
     by_size = {r["size"]: list(r["minima"]) for r in listed}
     every = sorted({h for m in by_size.values() for h in m})
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text"))
-    hashed = rows.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", _shingles(F.col("words")).alias("h"))
-    found = hashed.withColumn("hits", F.filter(F.transform("h", lambda h, i: F.struct(i.alias("i"), h.alias("h"))),
-                                               lambda x: x["h"].isin(every))).where(F.size("hits") > 0)
+    words = _once(rows, "words", _words(F.col("text"))).select("doc_id", "words")
+    hashed = _once(words, "h", _shingles(F.col("words"))).select("doc_id", "h")
+    found = _once(hashed, "hits", F.filter(F.transform("h", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: x["h"].isin(every)))
     last = F.greatest(F.size("h") - (SHINGLE - 1), F.lit(1))
-    starts = []
-    for size, minima in sorted(by_size.items()):
-        own = F.filter("hits", lambda x, m=minima: x["h"].isin(m))
-        around = F.flatten(F.transform(own, lambda x, s=size: F.sequence(F.greatest(x["i"] - (s - 1), F.lit(0)), x["i"])))
-        highest = F.greatest(last - size, F.lit(0))
-        inside = F.array_distinct(F.filter(around, lambda s, top=highest: s <= top))
-        starts.append(F.transform(inside, lambda s, n=size: F.struct(s.alias("start"), F.lit(n).alias("size"))))
+    starts = [_starts(F.col("hits"), size, minima, F.greatest(last - size, F.lit(0))) for size, minima in sorted(by_size.items())]
     windows = found.select("doc_id", "h", F.explode(F.flatten(F.array(*starts))).alias("w")) if starts else found.select(
         "doc_id", "h", F.struct(F.lit(0).alias("start"), F.lit(0).alias("size")).alias("w")).where(F.lit(False))
-    windows = windows.select("doc_id", F.col("w.start").alias("start"), F.col("w.size").alias("size"),
-                             F.array_distinct(F.slice("h", F.col("w.start") + 1, F.col("w.size"))).alias("part"))
-    signed = windows.select("*", F.array(*_minima(F.col("part"))).alias("m"))
+    part = F.array_distinct(F.slice("h", F.col("w.start") + 1, F.col("w.size")))
+    windows = _once(windows, "part", part).select("doc_id", F.col("w.start").alias("start"), F.col("w.size").alias("size"), "part")
+    signed = _once(windows, "m", F.array(*_minima(F.col("part"))))
     signed = signed.select("doc_id", "start", "size", "part", F.explode(_bands([F.col("m")[j] for j in range(BANDS * ROWS)])).alias("band"))
     model = known.select("license_id", "shingles", F.col("size").alias("of"), F.array(*_minima(F.col("shingles"))).alias("m")).select(
         "license_id", "shingles", "of", F.explode(_bands([F.col("m")[j] for j in range(BANDS * ROWS)])).alias("band"))

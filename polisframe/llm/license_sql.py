@@ -6,10 +6,10 @@ from polisframe.llm.license_scan import CONTAINMENT, SHINGLE, TEMPLATES
 
 _VALUES = ", ".join(f"('{i}', '{t}')" for i, t in TEMPLATES)
 _JOINED = " || ' ' || ".join(f"w[i + {j}]" for j in range(SHINGLE))
-_SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+_SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 SCAN_SQL = f"""
-WITH t0 AS (SELECT column0 AS license_id, {_SPLIT.format('column1')} AS w FROM (VALUES {_VALUES})),
+WITH t0 AS (SELECT license_id, {_SPLIT.format('notice')} AS w FROM (VALUES {_VALUES}) AS v(license_id, notice)),
 t1 AS (SELECT DISTINCT license_id, {_JOINED} AS s FROM (SELECT license_id, w, unnest(range(1, len(w) - {SHINGLE} + 2)) AS i FROM t0)),
 t AS (SELECT license_id, s, count(*) OVER (PARTITION BY license_id) AS size FROM t1),
 d0 AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),
