@@ -73,24 +73,31 @@ def _counted(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Rec
 
 
 def select_features(sample: DataFrame, sizes: list[int], most: int = FEATURES) -> np.ndarray:
-    """Keys of the features that tell one class from the others best (z score of the log odds), sorted.
+    """Keys of the features that tell one class from the others best, sorted.
 
-    A feature needs to be in one in 200 documents of the smallest class, or in two.
+    The measure is the root of the likelihood ratio (G) of feature and class, for the best class; a feature needs 3, or up to 5 if
+    others have much more, and at least two documents.
     """
-    least = max(2, min(s for s in sizes if s) // 200)
     classes = range(len(sizes))
     counts = sample.mapInArrow(lambda b: _counted(b, len(sizes)), "feature bigint, " + ", ".join(f"c{c} bigint" for c in classes))
     counts = counts.groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in classes])
-    total = sum(sizes)
+    total = float(sum(sizes))
     seen = sum((F.col(f"c{c}") for c in classes), F.lit(0))
+
+    def term(found, expected):
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(0.0)
+
     scores = []
     for c in classes:
-        a, b = F.col(f"c{c}") + 0.5, seen - F.col(f"c{c}") + 0.5
-        na, nb = F.lit(sizes[c] + 1.0), F.lit(total - sizes[c] + 1.0)
-        scores.append(F.abs(F.log(a / na) - F.log(b / nb)) / F.sqrt(1 / a + 1 / b))
-    best = counts.where(seen >= least).withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0])
-    rows = best.where("score >= 2.2").orderBy(F.desc("score"), "feature").limit(most).select("feature").collect()  # at most ``most``
-    return np.sort(np.array([r["feature"] for r in rows], np.int64).view(np.uint64))
+        own, other, size, rest = F.col(f"c{c}"), seen - F.col(f"c{c}"), float(sizes[c]), total - sizes[c]
+        if size and rest:
+            g = term(own, seen * (size / total)) + term(other, seen * (rest / total))
+            g = g + term(size - own, (total - seen) * (size / total)) + term(rest - other, (total - seen) * (rest / total))
+            scores.append(F.sqrt(F.greatest(2 * g, F.lit(0.0))))
+    best = counts.where((seen >= 2) & (seen < total)).withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0])
+    rows = best.where("score >= 3").orderBy(F.desc("score"), "feature").limit(most).select("feature", "score").collect()  # at most ``most``
+    enough = min(5.0, max(3.0, 0.3 * rows[0]["score"])) if rows else 0.0
+    return np.sort(np.array([r["feature"] for r in rows if r["score"] >= enough], np.int64).view(np.uint64))
 
 
 class Vectors:

@@ -100,7 +100,7 @@ def _rate(posterior: Column, steps: list[np.ndarray], least: float) -> Column:
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds: int = 30, near: float = 1e-6,
+def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds: int = 20, near: float = 1e-4,
               tokens: float | None = None) -> list[np.ndarray]:
     """Steps of the projected gradient for ``members`` (n_tokens, posterior).
 
@@ -110,25 +110,29 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, roun
     k = range(len(targets))
     weight = F.col("n_tokens").cast("double")
     p = F.col("posterior")
-    first = members.agg(*[F.sum(weight * p[i]).alias(f"t{i}") for i in k], *[
-        F.sum(weight * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k]).first()
-    now = np.array([first[f"t{i}"] or 0.0 for i in k])
-    gram = np.array([[first[f"g{i}_{j}"] or 0.0 for j in k] for i in k])
+
+    def totals(steps):
+        """Tokens of the domains, and the Gram matrix of the members that can move both ways."""
+        rate = _rate(p, steps, least)
+        free = F.when(rate > least, weight).otherwise(0.0) if steps else weight
+        row = members.agg(*[F.sum(rate * weight * p[i]).alias(f"t{i}") for i in k], *[
+            F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in k for j in k]).first()
+        return np.array([row[f"t{i}"] or 0.0 for i in k]), np.array([[row[f"g{i}_{j}"] or 0.0 for j in k] for i in k])
+
+    now, gram = totals([])
     if not now.sum():
         return []
     wanted = np.array(targets, float) / sum(targets)
     total = tokens if tokens is not None else max(now[i] / wanted[i] for i in k if wanted[i] > 0)
-    goal, pull = wanted * total, np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
+    goal = wanted * total
     steps: list[np.ndarray] = []
     while len(steps) < rounds:
         gap = goal - now
         if np.abs(gap).max() <= near * total:
             break
-        steps.append(pull @ gap)
-        rate = _rate(p, steps, least)
-        row = members.agg(*[F.sum(rate * weight * p[i]).alias(f"t{i}") for i in k]).first()
-        before, now = now, np.array([row[f"t{i}"] for i in k])
-        if np.abs(now - before).max() <= 1e-9 * total:
+        steps.append(np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ gap)
+        before, (now, gram) = now, totals(steps)
+        if np.abs(now - before).max() <= 0.1 * near * total:
             break
     return steps
 

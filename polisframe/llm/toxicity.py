@@ -2,7 +2,7 @@
 
 Severity has the grades 0 (clean), 1 (toxic) and 2 (heavily toxic). The model is P(grade <= j) = sigmoid(t_j - w x): one
 weight vector, shared by the ordered thresholds t_0 < t_1, over sparse features of the text (words and their
-beginnings). The label table says toxic or not; a toxic document has grade 2 if its share of toxic vocabulary is above
+beginnings). The label table says toxic or not; a toxic document has grade 2 if it has more of the toxic vocabulary than
 the median of the toxic documents, else 1.
 
 The fit uses a bounded, documented sample of the labelled rows (``_linear.LABELLED`` documents, ``_linear.FEATURES`` features);
@@ -41,10 +41,14 @@ class Severity:
         return np.diff(np.column_stack([np.zeros(len(score)), below, np.ones(len(score))]), axis=1)
 
 
-def fit_cumulative(active: list[np.ndarray], grades: np.ndarray, features: int, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of least penalised log loss. Thresholds are t_0, t_0 + e^u_1, ... and so keep their order."""
+def fit_cumulative(active: list[np.ndarray], grades: np.ndarray, features: int, ridge: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of least penalised log loss. Thresholds are t_0, t_0 + e^u_1, ... and so keep their order.
+
+    A feature counts by the logarithm of its rarity, so that words of many documents weigh little.
+    """
     n = len(grades)
     row, col = sparse_rows(active)
+    rarity = np.log((n + 1) / (np.bincount(col, minlength=features) + 1))
     share = np.array([(np.sum(grades <= j) + 0.5) / (n + 1) for j in range(GRADES - 1)])
     first = np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(first), 0.1))
@@ -54,7 +58,7 @@ def fit_cumulative(active: list[np.ndarray], grades: np.ndarray, features: int,
 
     def loss(p):
         w, t = p[:features], thresholds(p)
-        score = np.bincount(row, w[col], n)
+        score = np.bincount(row, (w * rarity)[col], n)
         low = np.concatenate([[-np.inf], t])[grades] - score
         high = np.concatenate([t, [np.inf]])[grades] - score
         a, b = _sigmoid(low), _sigmoid(high)
@@ -65,14 +69,14 @@ def fit_cumulative(active: list[np.ndarray], grades: np.ndarray, features: int,
         for j in range(GRADES - 1):
             by_t[j] = -np.sum(db[grades == j] / chance[grades == j]) + np.sum(da[grades == j + 1] / chance[grades == j + 1])
         g = np.zeros_like(p)
-        g[:features] = np.bincount(col, by_score[row], features) / n + ridge * w / max(1, features) ** 0.5
+        g[:features] = rarity * np.bincount(col, by_score[row], features) / n + ridge * w / max(1, features) ** 0.5
         g[features] = by_t.sum() / n
         for j in range(1, GRADES - 1):
             g[features + j] = by_t[j:].sum() * np.exp(p[features + j]) / n
         return float(-np.log(chance).mean()), g
 
     p = descend(loss, np.concatenate([np.zeros(features), first[:1], gaps]))
-    return p[:features], thresholds(p)
+    return p[:features] * rarity, thresholds(p)
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Severity:
@@ -86,11 +90,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Severity:
     if not len(keys):
         share = np.clip((sizes[0] + 1) / (sum(sizes) + 1.5), 0.01, 0.99)
         return Severity(keys, np.zeros(0), np.array([np.log(share / (1 - share)), 6.0]))
-    active, shapes, toxic = sample_vectors(sample, keys)
+    active, _, toxic = sample_vectors(sample, keys)
     # vocabulary that leans to toxic documents gives the two toxic grades
     row, col = sparse_rows(active)
     lean = np.bincount(col, toxic[row], len(keys)) / sizes[1] > 4 * np.bincount(col, 1 - toxic[row], len(keys)) / sizes[0]
-    heavy = np.bincount(row, lean[col], len(toxic)) / np.maximum(1.0, np.expm1(shapes[:, 5]))
+    heavy = np.bincount(row, lean[col], len(toxic))
     grades = toxic + ((toxic == 1) & (heavy > np.median(heavy[toxic == 1]))).astype(np.int64)
     weights, thresholds = fit_cumulative(active, grades, len(keys))
     return Severity(keys, weights, thresholds)
