@@ -98,3 +98,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1), fixed by the 64-bit values given."""
     return ((mix64(x) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def byte_alphabet() -> list[str]:
+    """The stand-in of each byte in byte-level vocabularies: printable Latin-1 characters stand for themselves, U+0100 and
+    on in order for the others."""
+    spare = iter(range(256, 512))
+    return [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else chr(next(spare)) for b in range(256)]

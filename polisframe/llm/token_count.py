@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from polisframe.llm._shared import text_column, text_slices
+from polisframe.llm._shared import byte_alphabet, text_column, text_slices
 
 #: Pieces whose counts a worker remembers; beyond it the memory starts anew (counts stay the same).
 REMEMBERED = 400_000
@@ -46,10 +46,7 @@ class MergeTable:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
         self.tokenizer = Tokenizer.from_file(path)
-        # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards in order
-        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        spare = iter(range(256, 512))
-        stand_in = [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+        stand_in = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(stand_in)}
         self.inner = np.array([self.vocab[c] for c in stand_in], np.int64)
         self.final = np.array([self.vocab[c + self.end] for c in stand_in], np.int64)
