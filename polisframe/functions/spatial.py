@@ -93,14 +93,14 @@ def _exact(test, returns: str, a: Operand, b: Operand, near: Column) -> Column:
     return run(*inputs)
 
 
-def _relation(name: str, a: Operand, b: Operand, apart: bool) -> Column:
+def _relation(name: str, a: Operand, b: Operand) -> Column:
     near = _near(a, b)
     exact = _exact(lambda x, y: bool(getattr(planar.Relation(x, y), name)()), "boolean", a, b, near)
-    return F.when(near, exact).when(near.isNotNull(), F.lit(apart))
+    return near & exact  # a filter takes the boxes first, so that only near rows are looked into
 
 
 def intersects(a: Operand, b: Operand) -> Column:
-    return _relation("intersects", a, b, False)
+    return _relation("intersects", a, b)
 
 
 def disjoint(a: Operand, b: Operand) -> Column:
@@ -109,38 +109,38 @@ def disjoint(a: Operand, b: Operand) -> Column:
 
 def contains(a: Operand, b: Operand) -> Column:
     """b lies in a, and not only on its border."""
-    return _relation("contains", a, b, False)
+    return _relation("contains", a, b)
 
 
 def within(a: Operand, b: Operand) -> Column:
-    return _relation("within", a, b, False)
+    return _relation("within", a, b)
 
 
 def equals(a: Operand, b: Operand) -> Column:
     """The same point set."""
-    return _relation("equals", a, b, False)
+    return _relation("equals", a, b)
 
 
 def touches(a: Operand, b: Operand) -> Column:
     """Borders meet, interiors do not."""
-    return _relation("touches", a, b, False)
+    return _relation("touches", a, b)
 
 
 def overlaps(a: Operand, b: Operand) -> Column:
     """Same dimension, interiors meet (lines: along a stretch), and neither contains the other."""
-    return _relation("overlaps", a, b, False)
+    return _relation("overlaps", a, b)
 
 
 def crosses(a: Operand, b: Operand) -> Column:
     """A line or point set is partly inside and partly outside of the other; two lines cross at single points."""
-    return _relation("crosses", a, b, False)
+    return _relation("crosses", a, b)
 
 
 def dwithin(a: Operand, b: Operand, d: float, unit: str | None = None, axis_unit: str = "m") -> Column:
     """Distance at most ``d``; boxes farther apart than that are not looked into."""
     d = convert_length(d, unit, axis_unit)
     near = _near(a, b, d)
-    return F.when(near, _exact(planar.distance, "double", a, b, near) <= d).when(near.isNotNull(), F.lit(False))
+    return near & (_exact(planar.distance, "double", a, b, near) <= d)
 
 
 def beyond(a: Operand, b: Operand, d: float, unit: str | None = None, axis_unit: str = "m") -> Column:

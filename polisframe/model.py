@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from typing import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polisframe.runtime import empty_frame
+from polisframe.runtime import empty_frame, prepare
 
 ENVELOPE = "struct<xmin:double,ymin:double,zmin:double,xmax:double,ymax:double,zmax:double>"
 RINGS = "array<array<array<double>>>"
@@ -65,15 +66,6 @@ GEOMETRY_NAMES = {
     7: "TriangulatedSurface", 8: "MultiSurface", 9: "Solid", 10: "CompositeSolid", 11: "MultiSolid",
 }
 
-#: Schema-level geometry kinds -> the abstract kind above them.
-SCHEMA_GEOMETRY_TYPES = {
-    "AbstractGeometry": None, "Envelope": "AbstractGeometry", "ImplicitGeometry": None,
-    "AbstractPoint": "AbstractGeometry", "Point": "AbstractPoint", "MultiPoint": "AbstractPoint",
-    "AbstractCurve": "AbstractGeometry", "LineString": "AbstractCurve", "MultiLineString": "AbstractCurve",
-    "AbstractSurface": "AbstractGeometry", "Polygon": "AbstractSurface", "MultiSurface": "AbstractSurface",
-    "AbstractSolid": "AbstractGeometry", "Solid": "AbstractSolid", "MultiSolid": "AbstractSolid",
-}
-
 
 class ModelError(ValueError):
     """A name, type or operand that the model does not know or does not allow."""
@@ -90,6 +82,9 @@ class CityModel:
     tables: dict = field(default_factory=dict)
     _registry: "TypeRegistry | None" = None
 
+    def __post_init__(self):
+        prepare(self.spark)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
             return self.table(name)
@@ -106,6 +101,31 @@ class CityModel:
         """A model with some tables exchanged; this one is left as it is."""
         return CityModel(self.spark, {**self.tables, **tables}, self.types if self.tables else None)
 
+    def select_ids(self, statement: str) -> DataFrame:
+        """The result of a one-column SELECT over the model's tables, as the frame ``id``.
+
+        The statement is read as a sub-query, so anything but a query fails before it can run; the tables' names are
+        views only while it is analysed, and views of the session with such a name are put back.
+        """
+        catalog, before = self.spark.catalog, {}
+        named = [n for n in self.tables if re.search(rf"\b{n}\b", statement)]
+        for name in named:
+            if any(t.isTemporary for t in catalog.listTables(pattern=name)):
+                before[name] = self.spark.table(name)
+        try:
+            for name in named:
+                self.table(name).createOrReplaceTempView(name)
+            ids = self.spark.sql(f"SELECT * FROM (\n{statement}\n)")
+        finally:
+            for name in named:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    catalog.dropTempView(name)
+        if len(ids.columns) != 1:
+            raise ModelError("the SQL filter must return one column")
+        return ids.toDF("id")
+
     @property
     def types(self) -> "TypeRegistry":
         if self._registry is None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -55,13 +54,7 @@ def changes(m: CityModel, *, sql: str | None = None, order: str | None = None, l
     """
     df = m.feature_changelog.where(change_condition(m.types if filters.get("feature_types") else None, **filters))
     if sql is not None:
-        for name in m.tables:
-            if re.search(rf"\b{name}\b", sql):
-                m.table(name).createOrReplaceTempView(name)
-        ids = m.spark.sql(sql)
-        if len(ids.columns) != 1:
-            raise ModelError("the SQL filter must return one column")
-        df = df.join(ids.toDF("id"), "id", "left_semi")
+        df = df.join(m.select_ids(sql), "id", "left_semi")
     if order not in (None, "latest_first", "oldest_first"):
         raise ModelError(f"unknown order {order!r}")
     date = F.col("transaction_date")

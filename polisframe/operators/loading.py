@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from polisframe.functions import envelope as env
 from polisframe.model import CONTAINS, CityModel, ModelError
 from polisframe.operators import removal
-from polisframe.operators.hierarchy import contains_edges
 from polisframe.runtime import checkpointed, number_rows, number_rows_any_order, page_rows
 
 KINDS = ("feature", "implicit_geometry", "address", "surface_data", "tex_image")
@@ -152,8 +151,9 @@ def lineage_from_file(template: str, path: Column) -> Column:
 
 # -- shredding
 
-def shred(objects: DataFrame, m: CityModel, start_id: int = 1) -> CityModel:
-    """City objects to feature, property and geometry rows with new keys.
+def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: int = 1, geometry_start: int = 1) -> CityModel:
+    """City objects to feature, property and geometry rows with new keys, from a start per table (``next_ids`` of the
+    model that the result is merged into).
 
     ``objects`` has: file, seq, objectid, parent_objectid (null at the top), objectclass_id, envelope, attributes
     (VARIANT object) and geometries (array of struct lod, geometry_type, nodes, primitives). Attributes become one
@@ -174,7 +174,7 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1) -> CityModel:
 
     shapes = keyed.select(F.col("id").alias("feature_id"), F.explode("geometries").alias("g")).select(
         "feature_id", "g.*")
-    shapes = assign_ids(shapes, 1, name="geometry_id")
+    shapes = assign_ids(shapes, geometry_start, name="geometry_id")
     geometry = shapes.select(F.col("geometry_id").alias("id"), "feature_id", "geometry_type", "nodes", "primitives")
     shape_rows = _property_row(shapes, name=F.concat(F.lit("lod"), F.coalesce("lod", F.lit("")), F.lit("Geometry")),
                                datatype=F.lit("GeometryProperty"), namespace=1, val_lod=F.col("lod"),
@@ -183,8 +183,8 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1) -> CityModel:
     plain = child.unionByName(shape_rows)
     level = keyed.where("attributes is not null").select(
         F.col("id").alias("feature_id"), F.lit(None).cast("bigint").alias("parent_id"), "attributes")
-    properties, next_id = assign_ids(plain, 1), None
-    next_id = _next_id(properties, 1)
+    properties = assign_ids(plain, property_start)
+    next_id = _next_id(properties, property_start)
     while True:
         spark = level.sparkSession
         entries = level.lateralJoin(spark.tvf.variant_explode(F.col("attributes").outer())).select(
@@ -205,6 +205,11 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1) -> CityModel:
                      geometry_data=_conform(geometry, m.geometry_data))
 
 
+def next_ids(m: CityModel) -> dict[str, int]:
+    """The first free keys of a model, as the arguments of ``shred``."""
+    return {"start_id": _next_id(m.feature, 1), "property_start": _next_id(m.property, 1), "geometry_start": _next_id(m.geometry_data, 1)}
+
+
 def _next_id(numbered: DataFrame, start: int) -> int:
     top = numbered.agg(F.max("id")).first()[0]
     return start if top is None else top + 1
@@ -245,15 +250,12 @@ def _conform(df: DataFrame, like: DataFrame) -> DataFrame:
 
 # -- merging
 
-_OWNED = {"property": "feature_id", "geometry_data": "feature_id", "appearance": "feature_id"}
-
-
 def merge_load(m: CityModel, incoming: CityModel, mode: str, now: Column, preview: bool = False,
                ) -> tuple[CityModel, DataFrame]:
     """Add an incoming model (keys already disjoint) and return the new model and one row of counts.
 
     ``import_all`` adds everything; ``skip`` drops incoming features that are in the model and not terminated, with
-    what they contain; ``delete`` and ``terminate`` first do that to the stored duplicates.
+    what only they contain or own; ``delete`` and ``terminate`` first do that to the stored duplicates.
     """
     top = incoming.feature.where(F.col("objectclass_id").isin(m.types.feature_class_ids()))
     duplicates = find_duplicates(top, m)
@@ -262,13 +264,8 @@ def merge_load(m: CityModel, incoming: CityModel, mode: str, now: Column, previe
     base, added = m, incoming
     if mode == "skip":
         known = top.join(duplicates.select("objectid"), "objectid", "left_semi").select("id")
-        gone = removal.reach(contains_edges(incoming).select("parent", "child").distinct(), known)
-        parts = {"feature": incoming.feature.join(gone, "id", "left_anti")}
-        for table, key in _OWNED.items():
-            rows = incoming.table(table)
-            owned = rows.where(F.col(key).isNotNull()).join(gone.withColumnRenamed("id", key), key, "left_anti")
-            parts[table] = owned.select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
-        added = incoming.replace(**parts)
+        # what only they own goes as well: sub-features, appearances with their surface data, addresses
+        added, _ = removal.delete(incoming, known)
     elif mode == "delete":
         base, _ = removal.delete(m, duplicates.select("id"), preview)
     elif mode == "terminate":

@@ -7,7 +7,6 @@ nulls, which is the join choice a filter without OR and null tests needs.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from typing import Callable, Iterable
 
@@ -215,13 +214,7 @@ class FeatureQuery:
 
     def sql(self, statement: str) -> "FeatureQuery":
         """Features whose id is in the result of a one-column SELECT over the model's tables."""
-        for name in self.model.tables:
-            if re.search(rf"\b{name}\b", statement):
-                self.model.table(name).createOrReplaceTempView(name)
-        ids = self.model.spark.sql(statement)
-        if len(ids.columns) != 1:
-            raise ModelError("the SQL filter must return one column")
-        self._semi = getattr(self, "_semi", []) + [ids.toDF("id")]
+        self._semi = getattr(self, "_semi", []) + [self.model.select_ids(statement)]
         return self
 
     def ids(self, ids: DataFrame, column: str = "id") -> "FeatureQuery":

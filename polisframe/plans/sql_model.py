@@ -155,7 +155,9 @@ def with_tables(sql: str, recursive: bool = False) -> str:
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
             used += [n for n in [*_NEEDS.get(name, []), name] if n not in used]
-    ctes = ",\n".join(f"{n} AS ({TABLES[n]})" for n in sorted(used, key=list(TABLES).index))
+    # a table that is named several times is computed once
+    often = {n for n in used if len(re.findall(rf"\b{n}\b", sql)) > 1}
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in often else ''}({TABLES[n]})" for n in sorted(used, key=list(TABLES).index))
     body = sql.strip()
     own = body[:5].upper() == "WITH "
     head = "WITH RECURSIVE " if recursive else "WITH "

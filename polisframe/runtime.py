@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Above this many rows (offset + limit) a page is cut by distributed row numbers
-#: instead of Spark's single-task top-k merge.
-TOP_K_ROWS = 100_000
-
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -102,16 +98,9 @@ def _with_offsets(numbered: DataFrame, name: str, start: int) -> DataFrame:
 
 
 def page_rows(df: DataFrame, order: list[Column], limit: int | None, start: int = 0) -> DataFrame:
-    """Rows ``start + 1 … start + limit`` in ``order``.
-
-    Small pages use Spark's top-k; a large one is cut by distributed row numbers, so no task sees more than its part.
-    """
-    if limit is not None and start + limit <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(start).limit(limit)
-    if limit is None and not start:
-        return df.orderBy(*order)
-    numbered = number_rows(df, order, "_page_row")
-    wanted = F.col("_page_row") > start
-    if limit is not None:
-        wanted = wanted & (F.col("_page_row") <= start + limit)
-    return numbered.where(wanted).drop("_page_row").orderBy(*order)
+    """Rows ``start + 1 … start + limit`` in ``order``, as a lazy plan whatever the size: Spark merges the tasks' first
+    rows, or sorts by range where ``spark.sql.execution.topKSortFallbackThreshold`` says so."""
+    out = df.orderBy(*order)
+    if start:
+        out = out.offset(start)
+    return out if limit is None else out.limit(limit)

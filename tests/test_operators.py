@@ -151,9 +151,7 @@ def test_null_order_and_ties(spark, base):
     assert [r.id for r in page.collect()] == [1, 2]
 
 
-def test_large_pages_are_cut_by_row_numbers(spark, monkeypatch):
-    from polisframe import runtime
-    monkeypatch.setattr(runtime, "TOP_K_ROWS", 10)
+def test_pages_and_row_numbers(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("id"))
     assert [r.id for r in page_rows(df, [F.col("id")], 100, 50).collect()] == list(range(50, 150))
     numbered = number_rows(df, [F.col("id").desc()], "n", 5)
@@ -335,3 +333,60 @@ def test_components_of_a_star_and_a_chain(spark):
     pairs = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)]
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(40)}, **{i: 100 for i in range(100, 131)}}
+
+
+@pytest.mark.parametrize("statement", [
+    "drop view victim", "create table made as select 1 as id", "insert into victim values (1)", "select 1) ; drop view victim; --", "select 1, 2"])
+def test_sql_filters_only_read(spark, base, statement):
+    m = make(spark, base, feats(1, 2, 3))
+    spark.range(3).createOrReplaceTempView("victim")
+    spark.range(5).createOrReplaceTempView("feature")
+    with pytest.raises(Exception):  # a parser's, an analyser's or our own
+        m.select_ids(statement)
+    assert spark.table("victim").count() == 3 and spark.table("feature").count() == 5
+    assert not spark.catalog.tableExists("made")
+    spark.catalog.dropTempView("victim")
+    assert m.select_ids("select id from feature -- all").count() == m.feature.count() and spark.table("feature").count() == 5
+    spark.catalog.dropTempView("feature")
+
+
+def _objects(spark, *names):
+    """One object with a nested attribute and a polygon per name."""
+    rows = [("f", i, n, None, 20, '{"height": 3, "dims": {"size": 1, "kind": "x"}}') for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "file string, seq bigint, objectid string, parent_objectid string, objectclass_id int, json string")
+    ring = "array(array(array(array(0d, 0d, 0d), array(1d, 0d, 0d), array(1d, 1d, 0d), array(0d, 0d, 0d))))"
+    node = "array(named_struct('type', 5, 'object_id', cast(null as string), 'parent', cast(null as int), 'geometry_index', 0, 'is_reversed', cast(null as boolean)))"
+    return df.selectExpr(
+        "file", "seq", "objectid", "parent_objectid", "objectclass_id", "parse_json(json) AS attributes",
+        f"cast(null as {CityModel(spark).table('feature').schema['envelope'].dataType.simpleString()}) AS envelope",
+        f"array(named_struct('lod', '1', 'geometry_type', 5, 'nodes', {node}, 'primitives', {ring})) AS geometries")
+
+
+def test_two_loads_into_one_model(spark, base):
+    empty = make(spark, base)
+    first = ld.shred(_objects(spark, "a", "b"), empty, **ld.next_ids(empty))
+    second = ld.shred(_objects(spark, "b", "c", "d"), empty, **ld.next_ids(first))
+    both, counts = ld.merge_load(first, second, "import_all", F.current_timestamp())
+    for table in ("feature", "property", "geometry_data"):
+        assert both.table(table).count() == both.table(table).select("id").distinct().count(), table
+    p = both.property
+    inner = p.where("parent_id is not null").alias("c").join(p.alias("o"), F.col("c.parent_id") == F.col("o.id"))
+    assert inner.where("c.feature_id = o.feature_id and o.name = 'dims'").count() == 10
+    assert p.join(both.geometry_data.withColumnRenamed("id", "val_geometry_id"), ["val_geometry_id", "feature_id"]).count() == 5
+    kept, counts = ld.merge_load(first, second, "skip", F.current_timestamp())
+    assert tuple(counts.first()) == (1, 2) and kept.feature.count() == 4 and kept.geometry_data.count() == 4
+
+
+def test_skip_leaves_no_orphans_and_keeps_shared_parts(spark, base):
+    m = make(spark, base, [dict(id=1, objectclass_id=20, objectid="a")])
+    new = make(spark, base, [dict(id=11, objectclass_id=20, objectid="a"), dict(id=12, objectclass_id=20, objectid="b"),
+                             dict(id=13, objectclass_id=21, objectid="part"), dict(id=14, objectclass_id=21, objectid="own")],
+               edges((11, 13), (12, 13), (11, 14)))
+    schema = lambda t: SCHEMAS[t]
+    frame = lambda t, *rows: spark.createDataFrame([{f.name: r.get(f.name) for f in CityModel(spark).table(t).schema} for r in rows], schema(t))
+    new = new.replace(appearance=frame("appearance", dict(id=1, feature_id=11), dict(id=2, feature_id=12)),
+                      surface_data=frame("surface_data", dict(id=5), dict(id=6)),
+                      appear_to_surface_data=frame("appear_to_surface_data", dict(id=1, appearance_id=1, surface_data_id=5), dict(id=2, appearance_id=2, surface_data_id=6)))
+    merged, _ = ld.merge_load(m, new, "skip", F.current_timestamp())
+    assert ids(merged.feature) == [1, 12, 13]
+    assert ids(merged.appearance) == [2] and ids(merged.surface_data) == [6] and ids(merged.appear_to_surface_data) == [2]
