@@ -12,7 +12,12 @@ from polisframe.runtime import checkpointed
 
 _GEOMETRY = {"Point": 1, "MultiPoint": 2, "LineString": 3, "MultiCurve": 4, "Polygon": 5, "CompositeSurface": 6,
              "TriangulatedSurface": 7, "MultiSurface": 8, "Solid": 9, "CompositeSolid": 10, "MultiSolid": 11}
-_POS = r'"gml:pos(?:List)?":(?:\{"_VALUE":)?"([^"]+)"'
+#: Attribute entries of a JSON text, whose numbers are no coordinates; values are under ``_VALUE``.
+_ATTRIBUTE = r'"_(?!VALUE")[^"]*":(?:"[^"]*"|[^,}\]]*)'
+_NUMBER = r"-?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+_ID, _HREF = r'"_gml:id":"([^"]+)"', r'"_xlink:href":"#([^"]+)"'
+#: Elements that are text, however they look.
+_TEXT = ["stringAttribute", "uriAttribute", "dateAttribute", "codeAttribute"]
 
 
 def read_citygml(spark: SparkSession, path: str, member: str = "core:cityObjectMember", lod4_as_lod3: bool = False,
@@ -21,28 +26,44 @@ def read_citygml(spark: SparkSession, path: str, member: str = "core:cityObjectM
 
     Elements are mapped by name: a property whose only child is an upper-case GML geometry becomes a geometry (its LoD
     is the digit after ``lod`` in the property name), an upper-case element in any other namespace a sub-object, all
-    else an attribute. Nested levels are unfolded in rounds, one per level of the documents. Coordinates have three
-    dimensions.
+    else an attribute. Nested levels are unfolded in rounds, one per level of the documents.
+
+    Rings are read from ``gml:posList`` or from ``gml:pos`` one by one, in as many dimensions as ``srsDimension`` says
+    (three, if nothing does); polygons, patches and triangles are one primitive each. A surface given by reference
+    (``xlink:href="#…"``) takes the rings of the polygon with that id in the same file, and its node keeps the id; so do
+    polygons with an id of their own. ``unreadable`` names the properties whose geometry gave no coordinates or whose
+    references lead nowhere. Text attributes become text, other values are typed by their look; Spark's XML source reads
+    ``007`` as a number before that, so leading zeros are lost.
     """
     members = spark.read.format("xml").option("rowTag", member).option("singleVariantColumn", "v").load(path)
     members = members.select(F.col("_metadata.file_path").alias("file"), "v")
     tops = _children(members.withColumn("doc", F.col("v")).select("file", "doc")).where(~F.col("key").startswith("_"))
     tops = assign_ids(tops.select("file", F.col("key").alias("element"), "value"), 0, name="nr")
     level = tops.select("file", "nr", F.lit(None).cast("string").alias("parent_objectid"), "element", "value")
-    levels = []
+    levels, found = [], []
     while True:
         objects = checkpointed(_identify(level))
         if objects.isEmpty():
             break
         props = checkpointed(_properties(objects))
-        levels.append(_objects(objects, props, lod4_as_lod3))
+        levels.append(_attributes(objects, props))
+        found.append(props.where("role = 'geometry'"))
         level = props.where("role = 'object'").select("file", "nr", F.col("objectid").alias("parent_objectid"),
                                                       F.col("inner").alias("element"), F.col("inner_value").alias("value"))
+    if not levels:
+        levels.append(_attributes(objects, _properties(objects)))
+        found.append(_properties(objects).where("role = 'geometry'"))
     out = levels[0]
+    shapes = found[0]
+    for frame in found[1:]:
+        shapes = shapes.unionByName(frame)
     root_id = levels[0].select("nr", F.col("objectid").alias("root_objectid"))
     for frame in levels[1:]:
         out = out.unionByName(frame)
-    out = out.join(root_id, "nr").drop("nr")
+    shapes = _geometries(shapes, lod4_as_lod3)
+    out = out.join(root_id, "nr").join(shapes, ["nr", "objectid"], "left").drop("nr")
+    empty = lambda name: F.coalesce(F.col(name), F.array().cast(shapes.schema[name].dataType))
+    out = out.withColumns({"geometries": empty("geometries"), "unreadable": empty("unreadable")})
     box = env.of_points(F.flatten(F.transform("geometries", lambda g: F.flatten(F.flatten(g["primitives"])))))
     return assign_ids(out.withColumn("envelope", box), 0, name="seq")
 
@@ -85,13 +106,17 @@ def _properties(objects: DataFrame) -> DataFrame:
     return flat.unionByName(deep).withColumn("role", role)
 
 
-def _objects(objects: DataFrame, props: DataFrame, lod4_as_lod3: bool) -> DataFrame:
-    name = F.coalesce(F.try_variant_get("value", "$._name", "string"), _local(F.col("key")))
+def _attributes(objects: DataFrame, props: DataFrame) -> DataFrame:
+    """The objects with their attributes as one VARIANT object each."""
+    element = _local(F.col("key"))
+    name = F.coalesce(F.try_variant_get("value", "$._name", "string"), element)
     value = F.coalesce(F.try_variant_get("value", "$['gen:value']", "variant"),
-                       F.try_variant_get("value", "$.value", "variant"),
-                       F.try_variant_get("value", "$._VALUE", "variant"), F.col("value"))
+                       F.try_variant_get("value", "$.value", "variant"), F.col("value"))
+    value = F.coalesce(F.try_variant_get(value, "$._VALUE", "variant"), value)
+    quoted = F.to_json(F.array(F.try_variant_get(value, "$", "string")))
+    quoted = quoted.substr(F.lit(2), F.length(quoted) - 2)
     # an element without text, like boundedBy, is no attribute
-    text = F.when(_local(F.col("key")) != "boundedBy", F.to_json(value))
+    text = F.when(element != "boundedBy", F.when(element.isin(_TEXT), quoted).otherwise(F.to_json(value)))
     pairs = props.where("role = 'attribute'").select("nr", "objectid", name.alias("name"), text.alias("json")).where("json is not null")
     # repeated attributes become a list; one element's attributes are one row
     pairs = pairs.groupBy("nr", "objectid", "name").agg(F.collect_list("json").alias("all"))
@@ -100,42 +125,59 @@ def _objects(objects: DataFrame, props: DataFrame, lod4_as_lod3: bool) -> DataFr
                          F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))))
     attributes = pairs.groupBy("nr", "objectid").agg(F.parse_json(F.concat(
         F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}"))).alias("attributes"))
+    out = objects.select("file", "nr", "objectid", "parent_objectid", _local(F.col("element")).alias("classname"))
+    return out.join(attributes, ["nr", "objectid"], "left")
+
+
+def _points(text: Column, size: Column) -> Column:
+    """The coordinates in a piece of JSON, ``size`` numbers a point."""
+    numbers = F.transform(F.regexp_extract_all(F.regexp_replace(text, _ATTRIBUTE, ""), F.lit(f"({_NUMBER})"), 1), lambda s: s.cast("double"))
+    starts = lambda n: F.when(F.size(n) >= size, F.sequence(F.lit(1), F.size(n) - size + 1, size)).otherwise(F.array().cast("array<int>"))
+    return F.get(F.transform(F.array(numbers), lambda n: F.transform(starts(n), lambda i: F.slice(n, i, size))), 0)
 
+
+def _geometries(props: DataFrame, lod4_as_lod3: bool) -> DataFrame:
+    """(nr, objectid, geometries, unreadable) of all geometry properties; references are looked up in the file."""
     code = F.lit(None).cast("int")
     for n, c in _GEOMETRY.items():
         code = F.when(_local(F.col("inner")) == n, c).otherwise(code)
-    doc = F.to_json("inner_value")
-    numbers = lambda pos: F.transform(F.split(F.trim(pos), r"\s+"), lambda s: s.cast("double"))
-    triples = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - 2, F.lit(3)), lambda i: F.slice(v, i, 3))
-    ring = lambda pos: F.get(F.transform(F.array(numbers(pos)), triples), 0)
-    # every polygon starts a chunk of the document; inside it the exterior ring comes before the interior ones
-    chunks = F.when(code == 5, F.array(doc)).when(code >= 6, F.slice(F.split(doc, '"gml:(?:Polygon|Triangle)":'), 2, 2 ** 30))
-    lists = lambda text: F.regexp_extract_all(text, F.lit(_POS), 1)
-    areas = F.transform(chunks, lambda c: F.transform(lists(c), ring))
-    lines = F.transform(lists(doc), lambda pos: F.array(ring(pos)))
-    primitives = F.filter(F.when(code >= 5, areas).otherwise(lines), lambda p: F.size(p) > 0)
-    node = lambda type_, parent, index: F.struct(
-        type_.cast("int").alias("type"), F.lit(None).cast("string").alias("object_id"),
-        parent.cast("int").alias("parent"), index.cast("int").alias("geometry_index"),
-        F.lit(None).cast("boolean").alias("is_reversed"))
-    leaf = F.when(F.col("geometry_type") <= 2, 1).when(F.col("geometry_type") <= 4, 3).otherwise(5)
-    none = F.lit(None)
-    nodes = F.when(F.col("geometry_type").isin(1, 3, 5), F.array(node(F.col("geometry_type"), none, F.lit(0)))).otherwise(
-        F.concat(F.array(node(F.col("geometry_type"), none, none)),
-                 F.transform("primitives", lambda p, i: node(leaf, F.lit(0), i))))
     lod = F.nullif(F.regexp_extract(_local(F.col("key")), r"^lod(\d)", 1), F.lit(""))
     if lod4_as_lod3:
         lod = F.when(lod == "4", "3").otherwise(lod)
-    shapes = props.where("role = 'geometry'").select("nr", "objectid", lod.alias("lod"), code.alias("geometry_type"),
-                                                     primitives.alias("primitives"))
-    if lod4_as_lod3:
-        shapes = shapes.where("size(primitives) > 0")
-    shapes = shapes.where("size(primitives) > 0").withColumn("nodes", nodes).groupBy("nr", "objectid").agg(
-        F.collect_list(F.struct("lod", "geometry_type", "nodes", "primitives")).alias("geometries"))
-    out = objects.select("file", "nr", "objectid", "parent_objectid", _local(F.col("element")).alias("classname"))
-    out = out.join(attributes, ["nr", "objectid"], "left").join(shapes, ["nr", "objectid"], "left")
-    empty = F.array().cast(shapes.schema["geometries"].dataType)
-    return out.withColumn("geometries", F.coalesce("geometries", empty))
+    shapes = props.select("file", "nr", "objectid", _local(F.col("key")).alias("name"), lod.alias("lod"), code.alias("geometry_type"),
+                          F.to_json("inner_value").alias("doc"))
+    shapes = assign_ids(shapes, 0, name="gid")
+    size = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("doc", r'"_srsDimension":"?(\d)', 1), F.lit("")), F.lit("9")).cast("int"), F.lit(3))
+    shapes = shapes.withColumn("dim", F.greatest(size, F.lit(2)))
+    # every exterior ring starts a primitive; its element's id stands before it, the interior rings after it
+    split = F.split("doc", '"gml:exterior":')
+    area = F.transform(F.slice(split, 2, 2 ** 30), lambda c, i: F.struct(
+        F.nullif(F.regexp_extract(F.element_at(split, i + 1), rf"\{{[^{{}}]*{_ID}[^{{}}]*$", 1), F.lit("")).alias("object_id"),
+        F.filter(F.transform(F.slice(F.split(c, '"gml:LinearRing":'), 2, 2 ** 30), lambda r: _points(r, F.col("dim"))), lambda r: F.size(r) > 0).alias("rings")))
+    mark = F.when(F.col("geometry_type") <= 2, '"gml:pos(?:List)?":').otherwise('"gml:LineString":')
+    pieces = F.when(F.col("geometry_type").isin(3), F.array("doc")).otherwise(F.slice(F.split("doc", mark), 2, 2 ** 30))
+    lines = F.transform(pieces, lambda c: F.struct(F.lit(None).cast("string").alias("object_id"), F.array(_points(c, F.col("dim"))).alias("rings")))
+    parts = F.filter(F.when(F.col("geometry_type") >= 5, area).otherwise(lines), lambda p: F.size(F.flatten(p["rings"])) > 0)
+    shapes = checkpointed(shapes.withColumn("parts", parts).withColumn("refs", F.regexp_extract_all("doc", F.lit(_HREF), 1)).drop("doc", "dim"))
+    named = shapes.select("file", F.explode("parts").alias("p")).select("file", F.col("p.object_id").alias("href"), "p").where("href is not null")
+    named = named.groupBy("file", "href").agg(F.any_value("p").alias("p"))
+    wanted = shapes.select("file", "gid", F.posexplode("refs").alias("place", "href"))
+    met = wanted.join(named, ["file", "href"], "left").groupBy("gid").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("place", "p")))), lambda x: x["p"]).alias("more"),
+        F.count_if(F.col("p").isNull()).alias("lost"))
+    shapes = shapes.join(met, "gid", "left").withColumn("parts", F.concat("parts", F.coalesce("more", F.array().cast(shapes.schema["parts"].dataType))))
+    node = lambda type_, parent, index, name: F.struct(
+        type_.cast("int").alias("type"), name.cast("string").alias("object_id"), parent.cast("int").alias("parent"),
+        index.cast("int").alias("geometry_index"), F.lit(None).cast("boolean").alias("is_reversed"))
+    none = F.lit(None)
+    leaf = F.when(F.col("geometry_type") <= 2, 1).when(F.col("geometry_type") <= 4, 3).otherwise(5)
+    nodes = F.when(F.col("geometry_type").isin(1, 3, 5), F.array(node(F.col("geometry_type"), none, F.lit(0), F.get("parts", 0)["object_id"]))).otherwise(
+        F.concat(F.array(node(F.col("geometry_type"), none, none, none)),
+                 F.transform("parts", lambda p, i: node(leaf, F.lit(0), i, p["object_id"]))))
+    shape = F.struct("lod", "geometry_type", nodes.alias("nodes"), F.transform("parts", lambda p: p["rings"]).alias("primitives"))
+    bad = (F.size("parts") == 0) | (F.coalesce("lost", F.lit(0)) > 0)
+    return shapes.groupBy("nr", "objectid").agg(
+        F.collect_list(F.when(F.size("parts") > 0, shape)).alias("geometries"), F.collect_list(F.when(bad, F.col("name"))).alias("unreadable"))
 
 
 def write_citygml(m: CityModel, features: DataFrame, path: str, version: str = "3.0") -> None:

@@ -86,6 +86,52 @@ def test_citygml(spark, m, tmp_path):
     assert back.count() == 8 and back.where("classname not in ('Customer', 'Supplier')").count() == 0
 
 
+FORMS = """<?xml version="1.0"?>
+<core:CityModel xmlns:core="c" xmlns:bldg="b" xmlns:gml="g" xmlns:gen="n" xmlns:xlink="x">
+<core:cityObjectMember><bldg:Building gml:id="X1">
+ <gen:stringAttribute name="code"><gen:value>1234</gen:value></gen:stringAttribute>
+ <gen:intAttribute name="n"><gen:value>7</gen:value></gen:intAttribute>
+ <gen:measureAttribute name="h"><gen:value uom="m">2.5</gen:value></gen:measureAttribute>
+ <bldg:lod2Solid><gml:Solid gml:id="s1"><gml:exterior_><gml:CompositeSurface>
+   <gml:surfaceMember xlink:href="#w1p"/><gml:surfaceMember xlink:href="#w2p"/></gml:CompositeSurface></gml:exterior_></gml:Solid></bldg:lod2Solid>
+ <bldg:lod1MultiSurface><gml:TriangulatedSurface><gml:trianglePatches>
+   <gml:Triangle><gml:exterior><gml:LinearRing><gml:posList>0 0 0 1 0 0 0 1 0 0 0 0</gml:posList></gml:LinearRing></gml:exterior></gml:Triangle>
+   <gml:Triangle><gml:exterior><gml:LinearRing><gml:posList>1 0 0 1 1 0 0 1 0 1 0 0</gml:posList></gml:LinearRing></gml:exterior></gml:Triangle>
+   <gml:Triangle><gml:exterior><gml:LinearRing><gml:posList>5 0 0 6 1 0 5 1 0 5 0 0</gml:posList></gml:LinearRing></gml:exterior></gml:Triangle>
+ </gml:trianglePatches></gml:TriangulatedSurface></bldg:lod1MultiSurface>
+ <bldg:lod0FootPrint><gml:MultiSurface srsDimension="2"><gml:surfaceMember><gml:Polygon><gml:exterior><gml:LinearRing>
+   <gml:posList>0 0 4 0 4 4 0 4 0 0</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon></gml:surfaceMember></gml:MultiSurface></bldg:lod0FootPrint>
+ <bldg:lod3Point><gml:Point srsDimension="2"><gml:pos>7 8</gml:pos></gml:Point></bldg:lod3Point>
+ <bldg:lod3MultiSurface><gml:MultiSurface><gml:surfaceMember xlink:href="#nowhere"/></gml:MultiSurface></bldg:lod3MultiSurface>
+ <bldg:boundedBy><bldg:WallSurface gml:id="W1"><bldg:lod2MultiSurface><gml:MultiSurface><gml:surfaceMember><gml:Polygon gml:id="w1p">
+   <gml:exterior><gml:LinearRing><gml:pos>0 0 0</gml:pos><gml:pos>1 0 0</gml:pos><gml:pos>1 0 3.5</gml:pos><gml:pos>0 0 0</gml:pos></gml:LinearRing></gml:exterior>
+   <gml:interior><gml:LinearRing><gml:posList>.1 0 .1 .2 0 .1 .2 0 .2 .1 0 .1</gml:posList></gml:LinearRing></gml:interior>
+   </gml:Polygon></gml:surfaceMember></gml:MultiSurface></bldg:lod2MultiSurface></bldg:WallSurface></bldg:boundedBy>
+ <bldg:boundedBy><bldg:WallSurface gml:id="W2"><bldg:lod2MultiSurface><gml:MultiSurface><gml:surfaceMember><gml:Surface><gml:patches><gml:PolygonPatch>
+   <gml:exterior><gml:LinearRing><gml:posList>9 9 9 10 9 9 10 10 9 9 9 9</gml:posList></gml:LinearRing></gml:exterior></gml:PolygonPatch></gml:patches></gml:Surface></gml:surfaceMember>
+   <gml:surfaceMember><gml:Polygon gml:id="w2p"><gml:exterior><gml:LinearRing><gml:posList>0 2 0 1 2 0 1 2 3 0 2 0</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon></gml:surfaceMember>
+   </gml:MultiSurface></bldg:lod2MultiSurface></bldg:WallSurface></bldg:boundedBy>
+</bldg:Building></core:cityObjectMember>
+</core:CityModel>
+""".replace("exterior_", "exterior")
+
+
+def test_citygml_forms_of_geometry(spark, tmp_path):
+    (tmp_path / "f.gml").write_text(FORMS)
+    rows = {r.objectid: r for r in citygml.read_citygml(spark, str(tmp_path / "f.gml")).withColumn("a", F.to_json("attributes")).collect()}
+    assert set(rows) == {"X1", "W1", "W2"}
+    x = {(g.lod, g.geometry_type): g for g in rows["X1"].geometries}
+    assert [len(p) for p in x["1", 7].primitives] == [1, 1, 1] and x["1", 7].primitives[2][0][1] == [6.0, 1.0, 0.0]
+    assert x["0", 8].primitives == [[[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]]]
+    assert x["3", 1].primitives == [[[[7.0, 8.0]]]]
+    solid = x["2", 9]  # by reference
+    assert [len(p) for p in solid.primitives] == [2, 1] and [n.object_id for n in solid.nodes] == [None, "w1p", "w2p"]
+    assert rows["W1"].geometries[0].primitives[0][0][2] == [1.0, 0.0, 3.5] and rows["W1"].geometries[0].primitives[0][1][0] == [0.1, 0.0, 0.1]
+    assert [len(p) for p in rows["W2"].geometries[0].primitives] == [1, 1]
+    assert rows["X1"].unreadable == ["lod3MultiSurface"] and rows["W1"].unreadable == []
+    assert '"code":"1234"' in rows["X1"].a and '"n":7' in rows["X1"].a and '"h":2.5' in rows["X1"].a
+
+
 def test_standard_catalogue(spark, tmp_path):
     from polisframe.catalog import standard_catalogue
     (tmp_path / "a.gml").write_text(GML)
