@@ -10,6 +10,7 @@ from polisframe.functions import geometry as geo
 from polisframe.model import CONTAINS, GEOMETRY_NAMES, CityModel
 from polisframe.operators.hierarchy import closure, contains_edges
 from polisframe.operators.loading import assign_ids
+from polisframe.runtime import checkpointed
 
 _LINE = (
     "type string, id string, transform struct<scale:array<double>,translate:array<double>>, "
@@ -106,42 +107,32 @@ def with_classes(objects: DataFrame, m: CityModel, map_unknown: str | None = Non
 
 # -- writing
 
-def cityjson_lines(m: CityModel, roots: DataFrame, precision: int = 3, max_objects: int = 500) -> tuple[str, DataFrame]:
-    """The header line and one row (root_id, part, value) per feature line.
+def cityjson_lines(m: CityModel, roots: DataFrame, precision: int = 3) -> tuple[str, DataFrame]:
+    """The header line and one row (root_id, value) per feature line.
 
-    A feature with more than ``max_objects`` objects goes on in further lines of the same id, each with its own
-    vertices, so that no line and no task grows with one feature. Coordinates are rounded to ``precision`` decimals.
+    The format holds a feature with all its objects in one line, so a line is put together in one task. An object's
+    attributes are all its values (several of one name become a list, nested ones an object), its parents and children those
+    in the feature. Coordinates are rounded to ``precision`` decimals.
     """
+    edges = contains_edges(m).select("parent", F.col("child").alias("node_id")).distinct()
     tree = closure(contains_edges(m), roots)
-    parts = tree.groupBy("root_id").agg(F.ceil(F.count("*") / max_objects).alias("parts"))
-    tree = tree.join(parts, "root_id").withColumn(
-        "part", F.when(F.col("node_id") == F.col("root_id"), 0).otherwise(F.pmod(F.xxhash64("node_id"), F.col("parts"))))
     names = m.objectclass.select(F.col("id").alias("objectclass_id"), "classname")
     features = m.feature.select("id", "objectid", "objectclass_id").join(names, "objectclass_id")
-    nodes = tree.join(features, tree["node_id"] == features["id"]).select(
-        "root_id", "part", "node_id", "objectid", "classname")
-
-    edges = contains_edges(m).select(F.col("child").alias("node_id"), "parent").groupBy("node_id").agg(
-        F.min("parent").alias("parent"))
-    owner = m.feature.select(F.col("id").alias("parent"), F.col("objectid").alias("parent_objectid"))
-    nodes = nodes.join(edges.join(owner, "parent"), "node_id", "left").withColumn(
-        "parents", F.when((F.col("node_id") != F.col("root_id")) & F.col("parent_objectid").isNotNull(),
-                          F.array("parent_objectid")))
-
-    value = F.coalesce(F.col("val_string").cast("variant"), F.col("val_int").cast("variant"),
-                       F.col("val_double").cast("variant"), F.try_parse_json("val_array"))
-    attributes = m.property.where("parent_id is null and val_lod is null and val_feature_id is null").withColumn(
-        "value", value).where("value is not null").groupBy(F.col("feature_id").alias("node_id"), "name").agg(
-        F.min_by("value", "id").alias("value"))
-    attributes = attributes.groupBy("node_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("attributes"))
+    nodes = tree.join(features, tree["node_id"] == features["id"]).select("root_id", "node_id", "objectid", "classname")
+    inside = nodes.select("root_id", "node_id", "objectid")
+    up = inside.withColumnsRenamed({"node_id": "parent", "objectid": "parent_objectid"})
+    pairs = inside.join(edges, "node_id").join(up, ["root_id", "parent"])  # of objects of one feature
+    parents = pairs.groupBy("root_id", "node_id").agg(F.sort_array(F.collect_set("parent_objectid")).alias("parents"))
+    children = pairs.groupBy("root_id", F.col("parent").alias("node_id")).agg(F.sort_array(F.collect_set("objectid")).alias("children"))
+    nodes = nodes.join(parents, ["root_id", "node_id"], "left").join(children, ["root_id", "node_id"], "left")
+    attributes = _attribute_objects(m, nodes)
 
     geometry = _geometry_objects(m, nodes, precision)
-    body = nodes.join(attributes, "node_id", "left").join(geometry["objects"], ["root_id", "part", "node_id"], "left")
-    objects = body.groupBy("root_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("objectid", F.struct(
-        F.col("classname").alias("type"), "attributes", "parents", "geometry")))).alias("CityObjects"))
+    body = nodes.join(attributes, "node_id", "left").join(geometry["objects"], ["root_id", "node_id"], "left")
+    objects = body.groupBy("root_id").agg(F.map_from_entries(F.collect_list(F.struct("objectid", F.struct(
+        F.col("classname").alias("type"), "attributes", "parents", "children", "geometry")))).alias("CityObjects"))
     ids = m.feature.select(F.col("id").alias("root_id"), F.col("objectid").alias("id"))
-    lines = objects.join(geometry["vertices"], ["root_id", "part"], "left").join(ids, "root_id")
+    lines = objects.join(geometry["vertices"], ["root_id"], "left").join(ids, "root_id")
     line = F.struct(F.lit("CityJSONFeature").alias("type"), "id", "CityObjects",
                     F.coalesce("vertices", F.array().cast("array<array<bigint>>")).alias("vertices"))
     # boundaries are JSON text already: the quoted marker around them is taken off
@@ -149,7 +140,7 @@ def cityjson_lines(m: CityModel, roots: DataFrame, precision: int = 3, max_objec
     scale = 10.0 ** -precision
     header = ('{"type":"CityJSON","version":"2.0","transform":{"scale":[%r,%r,%r],"translate":[0.0,0.0,0.0]},'
               '"CityObjects":{},"vertices":[]}' % (scale, scale, scale))
-    return header, lines.select("root_id", "part", text.alias("value"))
+    return header, lines.select("root_id", text.alias("value"))
 
 
 def _geometry_objects(m: CityModel, nodes: DataFrame, precision: int) -> dict[str, DataFrame]:
@@ -160,9 +151,9 @@ def _geometry_objects(m: CityModel, nodes: DataFrame, precision: int) -> dict[st
     shapes = m.geometry_data.select(F.col("id").alias("gid"), "geometry_type", F.col("primitives"),
                                     F.transform(F.filter("nodes", lambda n: n["geometry_index"].isNotNull()),
                                                 lambda n: n["parent"]).alias("shells"))
-    rows = nodes.select("root_id", "part", "node_id").join(used, "node_id").join(shapes, "gid")
-    rows = rows.repartition("root_id", "part")
-    key = ["root_id", "part", "node_id", "gid", "val_lod", "geometry_type"]
+    rows = nodes.select("root_id", "node_id").join(used, "node_id").join(shapes, "gid")
+    rows = rows.repartition("root_id")
+    key = ["root_id", "node_id", "gid", "val_lod", "geometry_type"]
     prims = rows.select(*key, "shells", F.posexplode("primitives").alias("prim", "rings"))
     prims = prims.withColumn("shell", F.get("shells", F.col("prim"))).drop("shells")
     area = F.col("geometry_type") >= 5
@@ -170,9 +161,9 @@ def _geometry_objects(m: CityModel, nodes: DataFrame, precision: int) -> dict[st
     rings = rings.withColumn("points", F.when(area, F.slice("points", 1, F.size("points") - 1)).otherwise(F.col("points")))
     points = rings.select(*key, "prim", "shell", "ring", F.posexplode("points").alias("pos", "p"))
     q = lambda i: F.round(F.coalesce(F.get("p", i), F.lit(0.0)) * 10 ** precision).cast("bigint")
-    order = Window.partitionBy("root_id", "part").orderBy("node_id", "gid", "val_lod", "prim", "ring", "pos")
+    order = Window.partitionBy("root_id").orderBy("node_id", "gid", "val_lod", "prim", "ring", "pos")
     points = points.withColumn("n", F.row_number().over(order) - 1).withColumn("v", F.array(q(0), q(1), q(2)))
-    vertices = points.groupBy("root_id", "part").agg(
+    vertices = points.groupBy("root_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda s: s["v"]).alias("vertices"))
     ring = points.groupBy(*key, "prim", "shell", "ring").agg(F.array_sort(F.collect_list("n")).alias("ix"))
     prim = ring.groupBy(*key, "prim", "shell").agg(
@@ -191,18 +182,54 @@ def _geometry_objects(m: CityModel, nodes: DataFrame, precision: int) -> dict[st
             "TriangulatedSurface": "CompositeSurface"}.get(n, n))])
     geometry = F.struct(names[F.col("geometry_type")].alias("type"), F.col("val_lod").alias("lod"),
                         F.concat(F.lit("@"), text, F.lit("@")).alias("boundaries"))
-    objects = whole.groupBy("root_id", "part", "node_id").agg(F.sort_array(F.collect_list(geometry)).alias("geometry"))
+    objects = whole.groupBy("root_id", "node_id").agg(F.sort_array(F.collect_list(geometry)).alias("geometry"))
     return {"objects": objects, "vertices": vertices}
 
 
-def write_cityjson(m: CityModel, roots: DataFrame, path: str, precision: int = 3, files: int = 8) -> None:
-    """Write features as CityJSON text sequences: folders ``file=0 …``, each a readable sequence with its header first."""
+def write_cityjson(m: CityModel, roots: DataFrame, path: str, precision: int = 3, files: int | None = None) -> None:
+    """Write features as CityJSON text sequences: folders ``file=0 …``, each a readable sequence with its header first.
+
+    ``files``: how many; as many as the session has shuffle partitions, if not given.
+    """
     header, lines = cityjson_lines(m, roots, precision)
     spark = m.spark
-    body = lines.select(F.pmod(F.xxhash64("root_id", "part"), F.lit(files)).cast("int").alias("file"),
-                        F.lit(1).alias("place"), "root_id", "part", "value")
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body = lines.select(F.pmod(F.xxhash64("root_id"), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("place"), "root_id", "value")
     heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("place"),
-                                      F.lit(None).cast("bigint").alias("root_id"), F.lit(None).cast("bigint").alias("part"),
-                                      F.lit(header).alias("value"))
-    out = heads.unionByName(body).repartition(files, "file").sortWithinPartitions("file", "place", "root_id", "part")
+                                      F.lit(None).cast("bigint").alias("root_id"), F.lit(header).alias("value"))
+    out = heads.unionByName(body).repartition(files, "file").sortWithinPartitions("file", "place", "root_id")
     out.select("file", "value").write.partitionBy("file").mode("errorifexists").text(path)
+
+
+def _attribute_objects(m: CityModel, nodes: DataFrame) -> DataFrame:
+    """(node_id, attributes) with every attribute value as VARIANT; nested attributes are put into their parents level by level."""
+    text = F.coalesce(F.to_json(F.col("val_string").cast("variant")), F.to_json(F.col("val_int").cast("variant")),
+                      F.to_json(F.col("val_double").cast("variant")), F.to_json(F.try_parse_json("val_array")),
+                      F.to_json(F.date_format("val_timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX").cast("variant")), F.to_json(F.col("val_uri").cast("variant")))
+    rows = m.property.where("val_lod is null and val_feature_id is null and val_geometry_id is null and val_implicitgeom_id is null "
+                            "and val_appearance_id is null and val_address_id is null")
+    rows = rows.join(nodes.select(F.col("node_id").alias("feature_id")), "feature_id", "left_semi")
+    rows = checkpointed(rows.select("id", "feature_id", "parent_id", "name", text.alias("text")))
+    levels = [rows.where("parent_id is null")]
+    while True:
+        below = checkpointed(rows.join(levels[-1].select(F.col("id").alias("parent_id")), "parent_id", "left_semi"))
+        if below.isEmpty():
+            break
+        levels.append(below)
+    inner = None
+    for level in reversed(levels):
+        if inner is not None:
+            level = level.join(inner.withColumnsRenamed({"owner": "id", "object": "nested"}), "id", "left").withColumn(
+                "text", F.coalesce("nested", "text")).drop("nested")
+        owner = F.coalesce("parent_id", "feature_id")
+        inner = _objects_of(level.select(owner.alias("owner"), "name", "id", "text").where("text is not null"))
+    return inner.select(F.col("owner").alias("node_id"), F.parse_json("object").alias("attributes"))
+
+
+def _objects_of(pairs: DataFrame) -> DataFrame:
+    """(owner, object): the JSON object of each owner's (name, text); several texts of one name become a list."""
+    lists = pairs.groupBy("owner", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]).alias("all"))
+    quoted = F.to_json(F.array("name"))
+    entry = F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), F.when(F.size("all") == 1, F.get("all", 0)).otherwise(
+        F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))))
+    return lists.groupBy("owner").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}")).alias("object"))

@@ -46,13 +46,20 @@ def test_cityjson_round_trip(spark, m, roots, tmp_path):
     assert out.property.where("name = 'child'").count() == tree.count() - 30
 
 
-def test_cityjson_continues_large_features(m, roots):
-    _, lines = cityjson.cityjson_lines(m, roots, max_objects=3)
-    sizes = [len(r.k) for r in lines.select(F.json_object_keys(F.get_json_object("value", "$.CityObjects")).alias("k")).collect()]
-    _, whole = cityjson.cityjson_lines(m, roots)
-    assert len(sizes) > 30 and whole.count() == 30
-    assert sum(sizes) == sum(len(r.k) for r in whole.select(
-        F.json_object_keys(F.get_json_object("value", "$.CityObjects")).alias("k")).collect())
+def test_cityjson_keeps_all_values_and_the_tree(spark, m):
+    import json
+    from tests.test_operators import edges, make
+    rows = [dict(id=10, feature_id=1, name="q", namespace_id=3, val_int=5), dict(id=11, feature_id=1, name="q", namespace_id=3, val_int=6),
+            dict(id=12, feature_id=1, name="dims", namespace_id=3), dict(id=13, feature_id=1, parent_id=12, name="size", namespace_id=3, val_double=1.5),
+            dict(id=14, feature_id=1, parent_id=12, name="deep", namespace_id=3), dict(id=15, feature_id=1, parent_id=14, name="x", namespace_id=3, val_string='a"b'),
+            dict(id=16, feature_id=3, name="uri", namespace_id=3, val_uri="http://e.org")]
+    tree = make(spark, m, [dict(id=i, objectclass_id=c, objectid=f"f{i}") for i, c in ((1, 20), (2, 21), (3, 21), (4, 22), (5, 20))],
+                edges((1, 2), (1, 3), (2, 4), (3, 4), (5, 4)) + rows)
+    lines = {r.root_id: json.loads(r.value) for r in cityjson.cityjson_lines(tree, tree.feature.where("id in (1, 5)").select("id"))[1].collect()}
+    one = lines[1]["CityObjects"]
+    assert one["f1"]["attributes"] == {"q": [5, 6], "dims": {"size": 1.5, "deep": {"x": 'a"b'}}} and one["f3"]["attributes"] == {"uri": "http://e.org"}
+    assert one["f1"]["children"] == ["f2", "f3"] and one["f4"]["parents"] == ["f2", "f3"] and "parents" not in one["f1"]
+    assert lines[5]["CityObjects"]["f4"]["parents"] == ["f5"] and set(lines[5]["CityObjects"]) == {"f4", "f5"}
 
 
 GML = """<?xml version="1.0"?>
