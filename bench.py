@@ -17,7 +17,8 @@ from polisframe.plans import QUERIES  # noqa: E402
 
 HEADLINE = [
     "flagship", "path_subfeature", "path_shared_supplier", "positional_step", "sort_multi_valued", "or_across_paths",
-    "feature_count_and_extent_active", "geometry_count_by_lod_active", "closure", "lod_filter_and_depth1", "assign_tile",
+    "feature_count_and_extent_active", "geometry_count_by_lod_active", "closure", "lod_filter_and_depth1", "keep_lods_minimum",
+    "update_envelopes", "assign_tile",
     "dedupe_objects", "resolve_references", "changes_combined", "change_regions", "s_intersects_diamond",
 ]
 
