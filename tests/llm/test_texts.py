@@ -101,9 +101,9 @@ def test_licenses(spark, corpus):
     got = scan(df).toPandas()
     con = duckdb.connect()
     con.register("documents", df.toPandas())
-    con.execute("CREATE TABLE d AS SELECT * FROM documents")
     want = con.execute(SCAN_SQL).fetchall()
-    assert sorted(map(str, want)) == sorted(str((None if r.doc_id != r.doc_id else int(r.doc_id), *r[1:])) for r in got.itertuples(index=False))
+    whole = lambda i: None if i is None or i != i else int(i)  # noqa: E731  pandas holds ids with nulls as floats
+    assert sorted(str((whole(r[0]), *r[1:])) for r in want) == sorted(str((whole(r[0]), *r[1:])) for r in got.itertuples(index=False))
     assert len(want) >= 6
     assert scan(df.where("false")).collect() == []
 
@@ -118,13 +118,19 @@ def test_scores(spark, corpus, rows_of):
     want = sorted((d is None, d or 0, out(d), len(words(t)), sum(seen[w] > 0 for w in words(t)), n, round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in words(t)), 6))
                   for d, t in rows_of)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    held = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     tail = {(r["doc_id"], r["n_tokens"]): r["score"] for r in score_texts(corpus, head=3).collect()}  # by the shuffle instead of the matrix
     for r in got:
         assert tail[r["doc_id"], r["n_tokens"]] == pytest.approx(r["score"], rel=1e-5)
 
 
+def test_contexts_help(spark):
+    cycle = "salt pepper sugar flour butter".split()
+    rows = [(i, " ".join(cycle[(i + j) % 5] for j in range(20 + i % 7))) for i in range(120)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > 0.5 * sum(r["base_score"] for r in held)  # logarithms: a much higher probability
+
+
 def test_probabilities_sum_to_one(corpus):
     seated, totals = train(corpus.select("doc_id", "text").fillna("", "text"))
     head, _ = head_of(seated, totals)
