@@ -24,8 +24,9 @@ SHAPE = 8
 
 def word_features(word: str) -> list[int]:
     """64-bit keys of a lower-case word and its beginnings of 4 to 6 letters."""
-    kept = {word, *(word[:n] for n in (4, 5, 6) if len(word) > n)}
-    return [xxhash.xxh64_intdigest(w.encode(), 7) for w in kept]
+    n = len(word)
+    kept = (word, word[:4], word[:5], word[:6])[:1 + (n > 4) + (n > 5) + (n > 6)]
+    return [xxhash.xxh64_intdigest(w, 7) for w in kept]
 
 
 _UPPER, _DIGIT, _ALPHA, _SPACE = (np.zeros(256, bool) for _ in range(4))
@@ -36,13 +37,13 @@ _ALPHA[128:] = True
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def shape(text: str, words: list[str]) -> list[float]:
+def shape(text: str, words: int, distinct: int) -> list[float]:
     """Shares of capitals, digits and signs, word length, repetition and length."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    n, m = max(1, len(raw)), max(1, len(words))
+    n, m = max(1, len(raw)), max(1, words)
     counts = np.bincount(raw, minlength=256) if len(raw) else np.zeros(256, np.int64)
     upper, digit, alpha, space = (int(counts[c].sum()) for c in (_UPPER, _DIGIT, _ALPHA, _SPACE))
-    return [upper / n, digit / n, (n - alpha - digit - space) / n, min(m, n) / n, len(set(words)) / m, np.log1p(m),
+    return [upper / n, digit / n, (n - alpha - digit - space) / n, min(m, n) / n, distinct / m, np.log1p(m),
             counts[33] / n, counts[124] / n]
 
 
@@ -101,29 +102,34 @@ def select_features(sample: DataFrame, sizes: list[int], most: int = FEATURES) -
 
 
 class Vectors:
-    """Selected features and shape of texts; remembers the features of words."""
+    """Selected features and shape of texts; remembers which words have any."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.known = keys, {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = np.array(word_features(word), np.uint64)
-            at = np.searchsorted(self.keys, found)
-            ok = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == found) if len(self.keys) else at < 0
-            got = self.known[word] = tuple(at[ok].tolist())
-        return got
+        self.index = {k: i for i, k in enumerate(keys.tolist())}
+        self.without: set[str] = set()
+        self.having: dict[str, list[int]] = {}
+
+    def learn(self, words: set[str]) -> None:
+        for w in words:
+            found = [self.index[f] for f in word_features(w) if f in self.index]
+            if found:
+                self.having[w] = found
+            else:
+                self.without.add(w)
 
     def __call__(self, text: str) -> tuple[list[int], list[float], int]:
         """(numbers of the features it has, its shape, its words)."""
         words = text.lower().split()
-        found: set[int] = set()
-        for w in set(words):
-            found.update(self.of_word(w))
-        return sorted(found), shape(text, words), len(words)
+        distinct = set(words)
+        if len(self.without) + len(self.having) > REMEMBERED:
+            self.without.clear()
+            self.having.clear()
+        left = distinct - self.without
+        new = left - self.having.keys()
+        if new:
+            self.learn(new)
+        found = {f for w in left for f in self.having.get(w, ())}
+        return sorted(found), shape(text, len(words), len(distinct)), len(words)
 
 
 def sample_vectors(sample: DataFrame, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -145,14 +145,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: list[float], least: float =
     rate's. ``least``: smallest rate allowed. A null or empty text has one token; a null id stays null; repeated
     rows are members each; other columns stay, whatever their names; no rows give no rows.
     """
-    model = fit(docs, labels, len(targets), bound)
-    members = stored(with_posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "posterior"))
-    steps = fit_rates(members, targets, least, tokens=tokens)
     own = docs.columns
-    out = with_posteriors(docs, model).toDF(*[f"c{i}" for i in range(len(own))], "n_tokens", "posterior")
+    wide = with_posteriors(docs, fit(docs, labels, len(targets), bound)).toDF(*[f"c{i}" for i in range(len(own))], "n_tokens", "posterior")
+    wide = stored(wide)  # the steps read two narrow columns of it
+    steps = fit_rates(wide.select("n_tokens", "posterior"), targets, least, tokens=tokens)
     at = {c.lower(): i for i, c in reversed(list(enumerate(own)))}
     chance = F.pmod(F.xxhash64(f"c{at['doc_id']}", f"c{at['text']}", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
-    out = out.withColumn("rate", _rate(F.col("posterior"), steps, least)).withColumn("copies", F.floor(F.col("rate") + chance))
+    out = wide.withColumn("rate", _rate(F.col("posterior"), steps, least)).withColumn("copies", F.floor(F.col("rate") + chance))
     return out.toDF(*own, "n_tokens", "posterior", "rate", "copies")
 
 
