@@ -109,7 +109,7 @@ class Vectors:
         self.without: set[str] = set()
         self.having: dict[str, list[int]] = {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         for w in words:
             found = [self.index[f] for f in word_features(w) if f in self.index]
             if found:
@@ -125,9 +125,7 @@ class Vectors:
             self.without.clear()
             self.having.clear()
         left = distinct - self.without
-        new = left - self.having.keys()
-        if new:
-            self.learn(new)
+        self.learn([w for w in left if w not in self.having])
         found = {f for w in left for f in self.having.get(w, ())}
         return sorted(found), shape(text, len(words), len(distinct)), len(words)
 
