@@ -26,18 +26,22 @@ SEED = 42
 BLOCK = 1024
 
 
-def _majority(text: str, size: int) -> int:
+def shingle_hashes(text: str, size: int) -> list[int]:
+    """The XXH64 hash of the shingle at each word; a text of fewer words is one shingle, one without words has none."""
     words = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
     if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        first = np.concatenate([[0], ends[:-size] + 1]).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(first, ends[size - 1:].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    first = np.concatenate([[0], ends[:-size] + 1]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(first, ends[size - 1:].tolist(), strict=True)]
+
+
+def simhash(hashes: list[int] | np.ndarray) -> int:
+    """The majority of each bit; of no hashes 0."""
     raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(raw), 65_536):
@@ -47,7 +51,7 @@ def _majority(text: str, size: int) -> int:
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
-        found = np.array([_majority(t, size) for t in batch.column("text").to_pylist()], np.uint64)
+        found = np.array([simhash(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "bits"])
 
 

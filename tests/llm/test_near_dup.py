@@ -1,13 +1,17 @@
 """SimHash and vector near-duplicates against all-pairs comparison."""
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from polisframe.llm.near_texts import near_texts
 from polisframe.llm.near_vectors import buckets, hadamard, near_vectors
 from polisframe.llm.simhash_tree import BKTree, forest_links, near_duplicates
+from tests.llm.conftest import prose
 
 
 def classes(n, pairs):
@@ -107,3 +111,45 @@ def test_hashing():
     a, b = buckets(x, 8, 2, 2), buckets(y, 8, 2, 2)
     assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() > 0.999
     assert all(len(set(r)) == len(r) for r in a.tolist())
+
+
+def planted(rng):
+    """Texts with copies that have some words replaced, a chain of copies of copies, and unlike ones with a common passage."""
+    texts, passage = [], prose(rng, 30)
+    for i in range(30):
+        words = prose(rng, rng.choice([6, 12, 40, 90, 300])).split()
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = [w if rng.random() > 0.02 else prose(rng, 1) for w in words] + ["end"] * rng.randint(0, 1)
+        texts.append(passage + " " + prose(rng, 30))
+    return texts + texts[:5] + [texts[1].upper(), "one", "ONE", "one two", "", None, " "]
+
+
+def five_word_classes(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0]
+    return classes(len(texts), pairs), pairs
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_texts(spark, block):
+    texts = planted(random.Random(4))
+    label, pairs = five_word_classes(texts)
+    assert sum(3 < (simhash(texts[i] or "") ^ simhash(texts[j] or "")).bit_count() for i, j in pairs) > 50  # op7's radius leaves them out
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "doc_id int, text string, tag string, size int").repartition(4)
+    got = near_texts(df, block=block).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == list(enumerate(label))
+
+
+def test_stage_drops_near_copies(spark):
+    import corpus_pipeline as c
+
+    texts = planted(random.Random(9))
+    label, _ = five_word_classes(texts)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(4)
+    got = c.dedup(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((i, texts[i]) for i in set(label))
+    assert c.dedup(spark, df.where("false"), "").collect() == []
