@@ -153,3 +153,16 @@ def test_stage_drops_near_copies(spark):
     got = c.dedup(spark, df, "").collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((i, texts[i]) for i in set(label))
     assert c.dedup(spark, df.where("false"), "").collect() == []
+
+
+def test_repeated_ids_keep_a_row_of_each_group(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(2)
+    one, other, third = (prose(rng, 40) for _ in range(3))
+    rows = [(1, one + " z"), (1, one + " b"), (1, other), (2, one), (2, third), (0, third + " x"), (3, "b a"), (3, "a b"), (3, "a b"), (None, one), (None, one)]
+    want = [(0, third + " x"), (1, min(one + " z", one + " b")), (1, other), (3, "a b"), (3, "b a"), (None, one), (None, one)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)
+        assert sorted((tuple(r) for r in c.dedup(spark, df, "").collect()), key=key) == sorted(want, key=key)
