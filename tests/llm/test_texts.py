@@ -108,6 +108,17 @@ def test_licenses(spark, corpus):
     assert scan(df.where("false")).collect() == []
 
 
+def test_short_notices(spark):
+    rows = [(1, "x y All rights reserved."), (2, "ALL\nrights  reserved, all rights reserved"), (3, "all rights"), (4, "all the rights reserved"), (5, "Fair use"),
+            (6, "all rights reserved. Released under the MIT License. Copyright"), (None, "(c) all rights reserved"), (7, None), (8, "this is fair use of it")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in scan(df).collect()), key=str)
+    assert got == sorted([(1, "all-rights-reserved", 1, 1.0, 2), (2, "all-rights-reserved", 2, 1.0, 0), (6, "all-rights-reserved", 1, 1.0, 0),
+                          (6, "mit", 1, 1.0, 3), (None, "all-rights-reserved", 1, 1.0, 1)], key=str)
+    few = scan(df, (("fair", "Fair use."), ("one", "Copyright"), ("four", "the MIT license copyright"), ("none", "...")))
+    assert sorted(tuple(r) for r in few.collect()) == [(5, "fair", 1, 1.0, 0), (6, "four", 1, 1.0, 5), (6, "one", 1, 1.0, 8), (8, "fair", 1, 1.0, 2)]
+
+
 def test_scores(spark, corpus, rows_of):
     got = score_texts(corpus).collect()
     assert len(got) == len(rows_of)
