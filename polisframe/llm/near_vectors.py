@@ -58,11 +58,11 @@ def axes(unit: np.ndarray, seed: int, most: int) -> tuple[np.ndarray, np.ndarray
 
 
 def buckets(unit: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
-    """Bucket keys of each row: ``tables`` x ``probes`` 64-bit numbers, no two of a row alike."""
+    """Bucket keys of each row: ``tables`` x ``probes`` 64-bit numbers, no two of a row alike; vectors of other lengths have others."""
     out = []
     for t in range(tables):
         near = [axes(unit, t * hashes + j, probes) for j in range(hashes)]
-        code, behind = np.zeros((len(unit), 1), np.uint64), np.zeros((len(unit), 1))
+        code, behind = np.full((len(unit), 1), unit.shape[1], np.uint64), np.zeros((len(unit), 1))
         for axis, gap in near:  # the most likely combinations, joined hash by hash
             code = (mix64(code)[:, :, None] + axis[:, None, :].astype(np.uint64)).reshape(len(unit), -1)
             behind = (behind[:, :, None] + gap[:, None, :]).reshape(len(unit), -1)
@@ -98,31 +98,39 @@ def _keyed(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel().view(np.int64))], ["least", "key"])
 
 
+def _groups(task: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the rows of each task; should keys of two lengths be equal by chance, of each length of the task."""
+    bounds = np.append(starts_of(task), len(task))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for n in np.unique(length[a:b]):
+            at = a + np.flatnonzero(length[a:b] == n)
+            if len(at) > 1:
+                yield at
+
+
 def _verified(batches: Iterator[pa.RecordBatch], cosine: float, tables: int, hashes: int, probes: int) -> Iterator[pa.RecordBatch]:
     for big in whole_groups(batches, "task"):
         task = big.column("task").to_numpy()
         key = big.column("key").to_numpy().view(np.uint64)
         ids, copies = big.column("least").to_numpy(), big.column("copies").to_numpy()
         second = big.column("second").to_numpy(zero_copy_only=False)
+        inner = big.column("inner").to_numpy(zero_copy_only=False)
         vectors = big.column("vector")
-        bounds = np.append(starts_of(task), len(task))
         counted: list[tuple[np.ndarray, np.ndarray]] = []
         linked: list[np.ndarray] = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a < 2 or len(set(vectors.slice(a, b - a).value_lengths().to_pylist())) > 1:
-                continue  # vectors of different lengths do not link; keys of different lengths hardly ever meet
-            unit = _unit(_matrix(vectors.slice(a, b - a)))
-            split = int(np.argmax(second[a:b])) if second[a:b].any() else 0
+        for at in _groups(task, vectors.value_lengths().to_numpy()):
+            unit = _unit(_matrix(vectors.take(pa.array(at))))
+            split = int(np.argmax(second[at])) if second[at].any() else 0
             if split:
                 x, y = np.nonzero(unit[:split] @ unit[split:].T >= cosine)
                 y = y + split
-            elif second[a]:
-                continue
+            elif not inner[at[0]]:
+                continue  # the other part is empty
             else:
                 x, y = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
             if len(x):
                 touched = np.unique(np.concatenate([x, y]))
-                row = np.zeros(b - a, np.int64)
+                row = np.zeros(len(at), np.int64)
                 row[touched] = np.arange(len(touched))
                 own = np.sort(buckets(unit[touched], tables, hashes, probes), axis=1)
                 mine = np.ones(len(x), bool)
@@ -132,15 +140,15 @@ def _verified(batches: Iterator[pa.RecordBatch], cosine: float, tables: int, has
                     for j in range(p.shape[1]):
                         shared = (q == p[:, j:j + 1]).any(axis=1)
                         least = np.where(shared, np.minimum(least, p[:, j]), least)
-                    mine[i:i + 65_536] = least == key[a]
+                    mine[i:i + 65_536] = least == key[at[0]]
                 x, y = x[mine], y[mine]
             if len(x):
-                n = np.bincount(x, copies[a:b][y], b - a) + np.bincount(y, copies[a:b][x], b - a)
+                n = np.bincount(x, copies[at][y], len(at)) + np.bincount(y, copies[at][x], len(at))
                 hit = np.flatnonzero(n)
-                counted.append((ids[a:b][hit], n[hit].astype(np.int64)))
-                forest = Forest(b - a)
+                counted.append((ids[at][hit], n[hit].astype(np.int64)))
+                forest = Forest(len(at))
                 forest.add(x, y)
-                linked.append(ids[a:b][np.array(forest.kept, np.int64).reshape(-1, 2)])
+                linked.append(ids[at][np.array(forest.kept, np.int64).reshape(-1, 2)])
         who = np.concatenate([c[0] for c in counted]) if counted else np.zeros(0, np.int64)
         n = np.concatenate([c[1] for c in counted]) if counted else np.zeros(0, np.int64)
         pairs = np.concatenate(linked) if linked else np.zeros((0, 2), np.int64)
@@ -186,7 +194,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES,
     cut = cut.withColumn("part", F.pmod(F.xxhash64("least", "key"), F.col("parts")).cast("int"))
     tasks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "least", "key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("task"),
-        (F.col("part") > F.col("other")).alias("second"))
+        (F.col("part") > F.col("other")).alias("second"), (F.col("part") == F.col("other")).alias("inner"))
     full = tasks.join(classes.select("least", "copies", "vector"), "least")
     found = stored(full.repartition("task").sortWithinPartitions("task", "second", "least").mapInArrow(
         lambda b: _verified(b, cosine, tables, hashes, probes), "a bigint, b bigint, n bigint"))

@@ -95,6 +95,22 @@ def test_vectors(spark, block):
     assert sorted((tuple(r) for r in got), key=key) == want
 
 
+def test_lengths_do_not_meet(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (33, 48, 64, 64):  # all are padded to 64
+        for _ in range(60):
+            v = np.pad(rng.normal(size=33), (0, n - 33), constant_values=0)
+            rows += [v.tolist(), (v + 0.02 * rng.normal(size=n)).tolist()]
+    rows += [[*rows[i][:33], *[0.0] * 15] for i in range(120)]  # the same keys as vectors of 33 but for the length
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>").repartition(4)
+    unit = {n: [(i, np.array(v) / np.linalg.norm(v)) for i, v in enumerate(rows) if len(v) == n] for n in (33, 48, 64)}
+    pairs = [(i, j) for same in unit.values() for i, v in same for j, w in same if j < i and v @ w >= 0.95]
+    want = np.bincount(np.array(pairs).ravel(), minlength=len(rows))
+    label = classes(len(rows), pairs)
+    assert sorted(tuple(r)[:3] for r in near_vectors(df).collect()) == [(i, want[i], label[i]) for i in range(len(rows))]
+
+
 def test_no_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
