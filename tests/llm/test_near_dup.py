@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from polisframe.llm.near_texts import near_texts
-from polisframe.llm.near_vectors import buckets, hadamard, near_vectors
+from polisframe.llm.near_vectors import buckets, hadamard, near_vectors, tables_for
 from polisframe.llm.simhash_tree import BKTree, forest_links, near_duplicates
 from tests.llm.conftest import prose
 
@@ -129,6 +129,18 @@ def test_hashing():
     assert all(len(set(r)) == len(r) for r in a.tolist())
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 4, 5])
+def test_misses_do_not_grow(hashes):
+    rng = np.random.default_rng(7)
+    x, e = rng.normal(size=(2, 5000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    e -= (e * x).sum(axis=1)[:, None] * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * e / np.linalg.norm(e, axis=1)[:, None]
+    a, b = (buckets(v, 6, hashes, hashes).reshape(5000, 6, hashes) for v in (x, y))
+    missed = 1 - (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean()  # of one table
+    assert missed ** tables_for(hashes) < 1.5e-4
+
+
 def planted(rng):
     """Texts with copies that have some words replaced, a chain of copies of copies, and unlike ones with a common passage."""
     texts, passage = [], prose(rng, 30)
