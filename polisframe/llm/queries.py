@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from polisframe.llm import toxicity
 from polisframe.llm.chat_repair import repair_chats
 from polisframe.llm.license_scan import scan
+from polisframe.llm.lexical_search import search
 from polisframe.llm.license_sql import SCAN_SQL
 from polisframe.llm.mixing import mix
 from polisframe.llm.near_vectors import near_vectors
 from polisframe.llm.order_minhash import chained
 from polisframe.llm.packing import pack
 from polisframe.llm.pitman_yor import score_texts
+from polisframe.llm.search_sql import SEARCH_SQL
 from polisframe.llm.simhash_tree import near_duplicates
 from polisframe.llm.token_count import count_tokens
 
@@ -24,7 +26,7 @@ from polisframe.llm.token_count import count_tokens
 TARGETS = [0.8, 0.15, 0.05]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op4_license_scan": SCAN_SQL}
+ORACLE: dict[str, str] = {"op4_license_scan": SCAN_SQL, "op12_lexical_search": SEARCH_SQL}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -95,3 +97,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
