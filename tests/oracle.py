@@ -55,20 +55,21 @@ def compare(con, sql, df):
 
 def main():
     from tests.conftest import local_session
-    from polisframe.plans import ORACLE, QUERIES
+    import __spark_entry__ as entry
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     prefixes = tuple(sys.argv[2:])
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con, bad = local_session(), connect(sf_dir), 0
-    for name, fn in QUERIES.items():
+    oracle = entry.oracle_sql()
+    for name, fn in entry.queries().items():
         if prefixes and not name.startswith(prefixes):
             continue
         start = time.time()
         try:
             df = fn(spark, sf_dir)
-            if name in ORACLE:
-                problem = compare(con, ORACLE[name], df)
+            if name in oracle:
+                problem = compare(con, oracle[name], df)
             else:
                 problem = "" if df.count() else "no rows"
         except Exception as e:  # report and go on with the next query
