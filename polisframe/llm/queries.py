@@ -17,6 +17,8 @@ from polisframe.llm.mixing import mix
 from polisframe.llm.near_vectors import near_vectors
 from polisframe.llm.order_minhash import chained
 from polisframe.llm.packing import pack
+from polisframe.llm.phrases import phrases
+from polisframe.llm.phrases_sql import PHRASES_SQL
 from polisframe.llm.pitman_yor import score_texts
 from polisframe.llm.search_sql import SEARCH_SQL
 from polisframe.llm.simhash_tree import near_duplicates
@@ -26,7 +28,7 @@ from polisframe.llm.token_count import count_tokens
 TARGETS = [0.8, 0.15, 0.05]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op4_license_scan": SCAN_SQL, "op12_lexical_search": SEARCH_SQL}
+ORACLE: dict[str, str] = {"op4_license_scan": SCAN_SQL, "op12_lexical_search": SEARCH_SQL, "op13_phrases": PHRASES_SQL}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -102,3 +104,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"))
