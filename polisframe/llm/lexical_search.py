@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from polisframe.llm._shared import starts_of, stored, text_column, text_slices
 
 TOP = 20
-DOCS, POSTINGS = 8192, 1 << 21
+DOCS, POSTINGS = 8192, 1 << 20
 QUERY_BYTES, QUERIES = 1 << 20, 4096
 
 #: Bytes as terms see them: A-Z lower-cased, digits, letters and all beyond ASCII kept, others are gaps.

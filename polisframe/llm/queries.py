@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polisframe.llm import toxicity
+from polisframe.llm.balanced_shards import shard_texts
 from polisframe.llm.chat_repair import repair_chats
 from polisframe.llm.license_scan import scan
 from polisframe.llm.lexical_search import search
@@ -101,6 +102,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
