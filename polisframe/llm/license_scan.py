@@ -35,7 +35,7 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
-#: What the query looks for: with the notice of three words, which the SQL counterpart can't hold.
+#: What the query looks for: with a notice of three words.
 NOTICES = (*TEMPLATES, ("all-rights-reserved", "All rights reserved."))
 
 
