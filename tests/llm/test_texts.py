@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import duckdb
@@ -11,12 +12,15 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from polisframe.llm._shared import mix64
 from polisframe.llm.license_scan import scan
 from polisframe.llm.license_sql import SCAN_SQL
 from polisframe.llm.order_minhash import KMER, chained, edited_text, hex_of, sketch
 from polisframe.llm.packing import differencing, pack, windows_of
-from polisframe.llm.pitman_yor import CONTEXTS, Totals, draw_tables, head_of, log_stirling, score_texts, train
+from polisframe.llm.pitman_yor import CONTEXTS, Totals, head_of, score_texts, tokens_of, train
+from polisframe.llm.seating import Seats, log_stirling
 from polisframe.llm.token_count import count_tokens
+from tests.llm.conftest import WORDS
 
 
 def test_token_counts(corpus, rows_of):
@@ -158,19 +162,103 @@ def test_probabilities_sum_to_one(corpus):
         assert totals.predict(n, t, k, unigram).sum() + totals.predict(0, 0, k, unknown) == pytest.approx(1, abs=1e-6)
 
 
-def test_seating():
-    s = log_stirling(0.5)
+def test_stirling():
+    s = log_stirling(0.5, 8)
     assert np.exp(s[3, 1:4]) == pytest.approx([0.75, 1.5, 1.0])  # S(3, 1) = (1 - d)(2 - d), S(3, 2) = 3 (1 - d)
-    rng = np.random.default_rng(0)
-    noise = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
-    drawn = draw_tables(np.full(20_000, 3), np.full(20_000, 0.8), 0.5, s, noise)
-    want = np.exp(s[3, 1:4] + np.log(0.8) * np.arange(1, 4))
-    assert np.bincount(drawn, minlength=4)[1:] / 20_000 == pytest.approx(want / want.sum(), abs=0.02)
-    many = draw_tables(np.full(50, 10**6), np.full(50, 2.0), 0.5, s, noise[:50])
-    assert (many >= 1).all() and (many < 1000).all()
     assert isinstance(Totals(1, 1, np.ones(1), np.ones(1), 1.0, 0.5, 0.5).open(), np.ndarray)
 
 
+@pytest.mark.parametrize(("discount", "a"), [(0.5, 2.0), (0.7, 0.5), (0.8, 20.0), (0.5, 300.0)])
+def test_seating(discount, a):
+    """Draws have the mean and the variance of the exact row, below and above the tabulated numbers of customers."""
+    seats, exact, n = Seats(discount), log_stirling(discount, 1500), 60_000
+    for c in (3, 65, 200, 600, 1500):
+        t = np.arange(1, c + 1)
+        p = np.exp((row := exact[c, 1:] + np.arange(1, 1501) * np.log(a))[:c] - row[:c].max())
+        p /= p.sum()
+        mean = (p * t).sum()
+        drawn = seats.draw(np.full(n, c), np.full(n, a), mix64(np.arange(n) + c))
+        assert drawn.mean() == pytest.approx(mean, rel=0.02) and drawn.var() == pytest.approx((p * t * t).sum() - mean**2, rel=0.04, abs=1e-3)
+    far = seats.draw(np.full(n, 10**9), np.full(n, 2.0), mix64(np.arange(n)))
+    assert far.mean() == pytest.approx(1 + 2 / discount, rel=0.02)  # one more than a Poisson number
+    assert (seats.draw(np.full(9, 1), np.full(9, 5.0), mix64(np.arange(9))) == 1).all()
+
+
+def plain_seating(context, word, words, totals, sweeps):
+    """Predictive probabilities [context, word] of customers that leave and sit down one by one; the last word is unknown."""
+    rng = random.Random(4)
+    tables = collections.defaultdict(list)  # sizes by (restaurant, word); the parent's restaurant is -1
+    sizes, opened = collections.Counter(), collections.Counter()
+    discount = lambda r: totals.parent_discount if r == -1 else totals.discount
+
+    def chance(r, w):
+        below = 1 / (words + 1) if r == -1 else chance(-1, w)
+        own = sum(tables[r, w]) - discount(r) * len(tables[r, w]) if w is not None else 0
+        return (own + (1 + discount(r) * opened[r]) * below) / (1 + sizes[r])
+
+    def sit(r, w):
+        new = (1 + discount(r) * opened[r]) * (1 / (words + 1) if r == -1 else chance(-1, w))
+        shares = [s - discount(r) for s in tables[r, w]] + [new]
+        at = rng.choices(range(len(shares)), shares)[0]
+        sizes[r] += 1
+        if at < len(tables[r, w]):
+            tables[r, w][at] += 1
+        else:
+            tables[r, w].append(1)
+            opened[r] += 1
+            if r != -1:
+                sit(-1, w)
+
+    def leave(r, w):
+        at = rng.choices(range(len(tables[r, w])), tables[r, w])[0]
+        sizes[r] -= 1
+        tables[r, w][at] -= 1
+        if not tables[r, w][at]:
+            del tables[r, w][at]
+            opened[r] -= 1
+            if r != -1:
+                leave(-1, w)
+
+    for r, w in zip(context, word, strict=True):
+        sit(r, w)
+    out = collections.Counter()
+    for sweep in range(sweeps):
+        for r, w in zip(context, word, strict=True):
+            leave(r, w)
+            sit(r, w)
+        if sweep >= sweeps // 3:
+            for r in set(context):
+                for w in [*range(words), None]:
+                    out[r, w] += chance(r, w) / (sweeps - sweeps // 3)
+    return out
+
+
+def test_scores_against_plain_seating(spark):
+    rng = random.Random(6)
+    follows = {w: rng.sample(WORDS, 3) for w in WORDS}
+
+    def text(n):
+        out = [rng.choice(WORDS)]
+        while len(out) < n:
+            out.append(rng.choice(follows[out[-1]] if rng.random() < 0.8 else WORDS))
+        return " ".join(out)
+
+    rows = [(i, text(rng.randint(10, 60))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    learn = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    t = tokens_of(learn)
+    _, totals = train(frame)
+    plain = plain_seating(t.context.tolist(), t.word.tolist(), len(t.keys), totals, 60)
+    number = {k: i for i, k in enumerate(t.keys.tolist())}
+    got = {r["doc_id"]: r["score"] for r in score_texts(frame).collect()}
+    unseen = {k: 1 / (len(t.keys) + 1) for k in range(CONTEXTS)}
+    own = {i: tokens_of([x]) for i, x in rows}
+    want = {i: sum(math.log10(plain.get((c, number.get(o.keys[w])), unseen[c])) for c, w in zip(o.context.tolist(), o.word.tolist(), strict=True))
+            for i, o in own.items()}
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.03)
+    assert all(got[i] == pytest.approx(want[i], rel=0.1) for i in got)
+
+
 @pytest.mark.parametrize("operator", [
     lambda d: count_tokens(d, public_tokenizers.path("word_bpe_49k.json")), lambda d: pack(d, public_tokenizers.path("byte_bpe_50k.json")), chained, score_texts])
 def test_no_documents(none, operator):
