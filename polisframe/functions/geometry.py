@@ -41,20 +41,19 @@ def transform_primitives(primitives: Column, matrix) -> Column:
 
 
 def _box_image(e, m) -> Column:
-    """The box around the images of a box's corners: 8 in 3D, 4 in 2D."""
+    """The box around the image of a box. An axis of the image is a sum over the axes of the box, so its extremes are sums of the
+    extremes of the terms; no corner is computed."""
     f = lambda n: env._f(e, n)
     flat = ~env.is_3d(e)
-    corners = []
-    for x in ("xmin", "xmax"):
-        for y in ("ymin", "ymax"):
-            for z in ("zmin", "zmax"):
-                px, py, pz = _apply(m, f(x), f(y), F.when(flat, 0.0).otherwise(f(z)))
-                corners.append((px, py, pz))
-    low = lambda i: F.least(*[c[i] for c in corners])
-    high = lambda i: F.greatest(*[c[i] for c in corners])
+    sides = [(f("xmin"), f("xmax")), (f("ymin"), f("ymax")), tuple(F.when(flat, 0.0).otherwise(f(n)) for n in ("zmin", "zmax"))]
+
+    def along(i, pick):
+        x, y, z = (pick(low * m[4 * i + j], high * m[4 * i + j]) for j, (low, high) in enumerate(sides))
+        return x + y + z + m[4 * i + 3]
+
     solid = lambda c: F.when(~flat, c)
-    return F.struct(low(0).alias("xmin"), low(1).alias("ymin"), solid(low(2)).alias("zmin"),
-                    high(0).alias("xmax"), high(1).alias("ymax"), solid(high(2)).alias("zmax"))
+    return F.struct(along(0, F.least).alias("xmin"), along(1, F.least).alias("ymin"), solid(along(2, F.least)).alias("zmin"),
+                    along(0, F.greatest).alias("xmax"), along(1, F.greatest).alias("ymax"), solid(along(2, F.greatest)).alias("zmax"))
 
 
 def transform_envelope(e, matrix) -> Column:

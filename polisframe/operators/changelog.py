@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from polisframe.functions import envelope as env
 from polisframe.model import CityModel, ModelError, TypeRegistry
+from polisframe.operators.outlines import outlines
 from polisframe.operators.regions import cluster_boxes
+from polisframe.operators.spatial_join import spatial_join
 from polisframe.runtime import page_rows
 
 TRANSACTION_TYPES = ("insert", "update", "terminate", "delete")
@@ -84,3 +86,15 @@ def change_regions(m: CityModel, **filters) -> DataFrame:
 def region_pieces(m: CityModel, **filters) -> DataFrame:
     """The regions as rectangles that do not overlap: (region_id, xmin, ymin, xmax, ymax)."""
     return change_clusters(m, **filters)[1]
+
+
+def region_outlines(m: CityModel, **filters) -> DataFrame:
+    """One polygon with its holes per region of change: (region_id, rings, holes, size, length)."""
+    return outlines(change_clusters(m, **filters)[1], "region_id")
+
+
+def changes_near(m: CityModel, features: DataFrame, distance: float = 0.0, **filters) -> DataFrame:
+    """(feature_id, change_id): the changes whose boxes meet those of ``features`` (id, envelope) or are that near."""
+    found = changes(m, **filters).select(F.col("id").alias("change_id"), F.col("envelope").alias("change_box"))
+    pairs = spatial_join(features.select(F.col("id").alias("feature_id"), "envelope"), found, "envelope", "change_box", distance)
+    return pairs.select("feature_id", "change_id")

@@ -191,24 +191,85 @@ def assemble(m: CityModel, roots: DataFrame) -> DataFrame:
     return tree.join(rows, "node_id", "left").withColumnRenamed("node_id", "feature_id")
 
 
-def nested(tree: DataFrame, max_nodes: int = 1000) -> DataFrame:
-    """Rows of :func:`assemble` as (root_id, part, nodes): the properties of each root as an array of structs.
+def property_value() -> Column:
+    """The value of a property row as VARIANT, null if it has none of its own."""
+    plain = ("val_int", "val_double", "val_string", "val_timestamp", "val_uri", "val_geometry_id", "val_implicitgeom_id", "val_address_id")
+    return F.coalesce(*[F.col(c).cast("variant") for c in plain])
 
-    A root with more than ``max_nodes`` rows is spread over several parts, all of them kept, so that no array and no
-    task grows with the size of one root.
-    """
-    counts = tree.groupBy("root_id").agg(F.ceil(F.count("*") / max_nodes).alias("parts"))
-    parted = tree.join(counts, "root_id").withColumn(
-        "part", F.pmod(F.xxhash64("feature_id", "id"), F.col("parts")))
-    entry = F.struct("depth", "feature_id", "name", "id", "parent_id", "val_int", "val_double", "val_string",
-                     "val_timestamp", "val_lod", "val_geometry_id", "val_feature_id", "val_relation_type",
-                     "is_reference")
-    return parted.groupBy("root_id", "part").agg(F.array_sort(F.collect_list(entry)).alias("nodes"))
 
+def _unfolded(m: CityModel, roots: DataFrame, value: Column) -> list[DataFrame]:
+    """The items of all trees, level by level: features, their properties, and what those hold.
 
-def sort_properties(rows: DataFrame) -> DataFrame:
-    """Same-named properties in id order within their feature."""
-    return rows.orderBy("feature_id", "name", "id")
+    Item: (root_id, kind, key, parent_kind, parent_key, name, class, objectid, lod, reference, value). A feature is an item where it comes first:
+    on the least level of its root, there under the least property; any other property that holds it refers to it.
+    """
+    inside = closure(contains_edges(m), roots).select(F.col("node_id")).distinct()
+    classes = m.objectclass.select(F.col("id").alias("objectclass_id"), F.col("classname").alias("class"))
+    features = checkpointed(m.feature.join(inside, m.feature["id"] == inside["node_id"], "left_semi").select(
+        F.col("id").alias("key"), "objectclass_id", "objectid").join(classes, "objectclass_id", "left").drop("objectclass_id"))
+    targets = m.feature.select(F.col("id").alias("val_feature_id"), F.col("objectid").alias("target"))
+    own = m.property.withColumn("value", value).select(
+        F.col("id").alias("key"), "feature_id", "parent_id", "name", F.col("val_lod").alias("lod"), "val_feature_id", "val_relation_type", "value")
+    own = own.join(inside.select(F.col("node_id").alias("feature_id")), "feature_id", "left_semi")
+    properties = checkpointed(own.join(targets, "val_feature_id", "left"))
+    held = properties["val_feature_id"].isNotNull() & (properties["val_relation_type"] == CONTAINS)
+    first = roots.select(F.col(roots.columns[0]).alias("root_id"), F.col(roots.columns[0]).alias("key")).distinct()
+    nothing = F.lit(None)
+    now = checkpointed(first.join(features, "key").select(
+        "root_id", F.lit("f").alias("kind"), "key", nothing.cast("string").alias("parent_kind"), nothing.cast("bigint").alias("parent_key"),
+        nothing.cast("string").alias("name"), "class", "objectid", nothing.cast("string").alias("lod"), nothing.cast("bigint").alias("child"), nothing.cast("string").alias("target"),
+        nothing.cast("variant").alias("value")))
+    columns, levels = now.columns, []
+    seen = now.select("root_id", "objectid")
+    while not now.isEmpty():
+        levels.append(now)
+        above = now.select("root_id", F.col("kind").alias("parent_kind"), F.col("key").alias("parent_key"))
+        member = properties.withColumns({"parent_kind": F.when(F.col("parent_id").isNull(), "f").otherwise("p"), "parent_key": F.coalesce("parent_id", "feature_id")})
+        below = member.join(above, ["parent_kind", "parent_key"]).withColumns({
+            "kind": F.lit("p"), "class": nothing.cast("string"), "objectid": nothing.cast("string"), "child": F.when(held, F.col("val_feature_id"))}).select(*columns)
+        holders = now.where("child is not null").select("root_id", F.col("key").alias("parent_key"), "child")
+        new = holders.join(features.withColumnRenamed("key", "child"), "child").join(seen, ["root_id", "objectid"], "left_anti")
+        chosen = new.groupBy("root_id", "objectid").agg(F.min(F.struct("parent_key", "child", "class")).alias("c")).select(
+            "root_id", F.lit("f").alias("kind"), F.col("c.child").alias("key"), F.lit("p").alias("parent_kind"), "c.parent_key", nothing.cast("string").alias("name"), "c.class",
+            "objectid", nothing.cast("string").alias("lod"), nothing.cast("bigint").alias("child"), nothing.cast("string").alias("target"), nothing.cast("variant").alias("value"))
+        now = checkpointed(below.unionByName(chosen))
+        seen = seen.unionByName(now.where("kind = 'f'").select("root_id", "objectid"))
+    return levels
+
+
+def sort_properties(column: str) -> Column:
+    """An array of (name, key, item) structs as its items, same-named ones in id order."""
+    before = lambda x, y: F.when((x["name"] < y["name"]) | ((x["name"] == y["name"]) & (x["key"] < y["key"])), -1).otherwise(1)
+    return F.transform(F.array_sort(F.col(column), before), lambda x: x["item"])
+
+
+def nested(m: CityModel, roots: DataFrame, value: Column | None = None) -> DataFrame:
+    """(root_id, tree): each root with all it contains as one VARIANT, whatever its size.
+
+    A feature is {class, id, objectid, properties}, a property {children, feature, id, lod, name, reference, value}: ``children`` are the attributes
+    inside it, ``feature`` is what it contains, ``reference`` the objectid of a feature that stands elsewhere. ``value`` is a VARIANT of a property
+    row, by default its own value. Trees are folded from the deepest level up; a level meets the one above it in one join.
+    """
+    levels = _unfolded(m, roots, property_value() if value is None else value)
+    empty = F.array().cast("array<variant>")
+    kids = None
+    for level in reversed(levels):
+        if kids is None:
+            level = level.withColumns({"members": empty, "feature": F.lit(None).cast("variant")})
+        else:
+            level = level.join(kids, ["root_id", "kind", "key"], "left").withColumn("members", F.coalesce("members", empty))
+        elsewhere = F.when(F.col("feature").isNull(), F.col("target"))
+        as_property = F.to_variant_object(F.struct(
+            F.col("members").alias("children"), "feature", F.col("key").alias("id"), "lod", "name", elsewhere.alias("reference"), "value"))
+        as_feature = F.to_variant_object(F.struct("class", F.col("key").alias("id"), "objectid", F.col("members").alias("properties")))
+        made = level.select("root_id", "kind", "parent_kind", "parent_key", "name", "key", F.when(F.col("kind") == "p", as_property).otherwise(as_feature).alias("item"))
+        inner = F.when(F.col("kind") == "p", F.struct("name", "key", "item"))
+        kids = made.groupBy("root_id", F.col("parent_kind").alias("kind"), F.col("parent_key").alias("key")).agg(
+            F.collect_list(inner).alias("unsorted"), F.first(F.when(F.col("kind") == "f", F.col("item")), ignorenulls=True).alias("feature"))
+        kids = kids.select("root_id", "kind", "key", sort_properties("unsorted").alias("members"), "feature")
+    if kids is None:
+        return roots.select(F.col(roots.columns[0]).alias("root_id"), F.lit(None).cast("variant").alias("tree")).where(F.lit(False))
+    return kids.select("root_id", F.col("feature").alias("tree"))
 
 
 # -- LoD selection and clean-up
@@ -275,33 +336,68 @@ def drop_empty_surface_data(mapped: DataFrame, m: CityModel) -> tuple[DataFrame,
 
 # -- envelopes
 
-def own_envelopes(m: CityModel) -> DataFrame:
-    """(feature_id, envelope): the box around a feature's own geometries and placed templates."""
-    boxes = m.geometry_data.select(F.col("id").alias("val_geometry_id"), geo.envelope_of("primitives").alias("box"))
-    world = m.property.where("val_geometry_id is not null").select("feature_id", "val_geometry_id").join(
-        boxes, "val_geometry_id").select("feature_id", "box")
-    shapes = m.implicit_geometry.select(F.col("id").alias("val_implicitgeom_id"), "relative_geometry_id").join(
-        boxes.withColumnRenamed("val_geometry_id", "relative_geometry_id"), "relative_geometry_id", "left").select(
-        "val_implicitgeom_id", F.col("box").alias("shape"))
-    matrix = F.from_json("val_array", "array<double>")
-    placed = m.property.where("val_implicitgeom_id is not null").select(
-        "feature_id", "val_implicitgeom_id", matrix.alias("matrix"), "val_implicitgeom_refpoint").join(
-        shapes, "val_implicitgeom_id", "left").select("feature_id", geo.template_envelope(
-            F.col("shape"), F.col("matrix"), F.col("val_implicitgeom_refpoint")).alias("box"))
-    return world.unionByName(placed).groupBy("feature_id").agg(env.extent("box").alias("envelope"))
+def own_envelopes(m: CityModel, properties: DataFrame | None = None) -> DataFrame:
+    """(feature_id, envelope): the box around a feature's own geometries and placed templates.
 
+    Only geometries and templates that ``properties`` (default: all) name are measured, a template once however often it is placed.
+    """
+    rows = m.property if properties is None else properties
+    world = rows.where("val_geometry_id is not null").select("feature_id", "val_geometry_id")
+    placed = rows.where("val_implicitgeom_id is not null").select(
+        "feature_id", "val_implicitgeom_id", F.from_json("val_array", "array<double>").alias("matrix"), "val_implicitgeom_refpoint")
+    g = m.geometry_data.select("id", "primitives")
+    used = g if properties is None else g.join(world.select(F.col("val_geometry_id").alias("id")), "id", "left_semi")
+    boxes = used.select(F.col("id").alias("val_geometry_id"), geo.envelope_of("primitives").alias("box"))
+    templates = m.implicit_geometry.select(F.col("id").alias("val_implicitgeom_id"), F.col("relative_geometry_id").alias("id"))
+    if properties is not None:
+        templates = templates.join(placed.select("val_implicitgeom_id"), "val_implicitgeom_id", "left_semi")
+    shapes = templates.join(g.join(templates.select("id"), "id", "left_semi").select("id", geo.envelope_of("primitives").alias("shape")), "id", "left")
+    placed = placed.join(shapes.drop("id"), "val_implicitgeom_id", "left").select(
+        "feature_id", geo.template_envelope(F.col("shape"), F.col("matrix"), F.col("val_implicitgeom_refpoint")).alias("box"))
+    return world.join(boxes, "val_geometry_id").select("feature_id", "box").unionByName(placed).groupBy("feature_id").agg(
+        env.extent("box").alias("envelope"))
+
+
+def contained(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): everything contained in any of the roots (first column), themselves included; each node once, whatever holds it."""
+    frontier = checkpointed(roots.select(F.col(roots.columns[0]).alias("node")).distinct())
+    known = frontier
+    while not frontier.isEmpty():
+        below = frontier.join(edges, frontier["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
+        frontier = checkpointed(below.join(known, "node", "left_anti"))
+        known = known.unionByName(frontier)
+    return known
 
-def update_envelopes(m: CityModel, features: DataFrame | None = None) -> DataFrame:
-    """The feature table with envelopes recomputed bottom-up from everything contained; unchanged where that is empty.
 
-    Boxes are reduced per feature before they meet the tree, then per ancestor.
+def lifted_envelopes(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, envelope): the boxes of ``own`` (node, envelope) joined up through ``edges`` (parent, child), level by level.
+
+    Only boxes that have just grown are sent on, and each parent joins what comes in before the shuffle, so a round moves at most one row an edge, a
+    child that several parents hold is counted for each, and cycles end when nothing grows. Rounds are as many as the tree is deep.
     """
+    frontier = checkpointed(own.where("envelope is not null").select("node", "envelope"))
+    known = frontier
+    while not frontier.isEmpty():
+        up = frontier.join(edges, frontier["node"] == edges["child"]).groupBy(F.col("parent").alias("node")).agg(env.extent("envelope").alias("envelope"))
+        so_far = known.join(up.select("node"), "node", "left_semi").withColumn("old", F.lit(True))
+        both = up.withColumn("old", F.lit(False)).unionByName(so_far)
+        grown = both.groupBy("node").agg(env.extent("envelope").alias("envelope"), env.extent(F.when(F.col("old"), F.col("envelope"))).alias("before"))
+        frontier = checkpointed(grown.where(~F.col("envelope").eqNullSafe(F.col("before"))).select("node", "envelope"))
+        known = known.unionByName(frontier)
+    return known.groupBy("node").agg(env.extent("envelope").alias("envelope"))
+
+
+def update_envelopes(m: CityModel, features: DataFrame | None = None) -> DataFrame:
+    """The feature table, or ``features`` of it, with envelopes recomputed bottom-up from everything contained; unchanged where that is empty."""
+    edges = checkpointed(contains_edges(m).select("parent", "child").distinct())
+    properties = None
+    if features is not None:
+        inside = checkpointed(contained(edges, features.select("id")))
+        edges = edges.join(inside.select(F.col("node").alias("parent")), "parent", "left_semi")
+        properties = m.property.join(inside.select(F.col("node").alias("feature_id")), "feature_id", "left_semi")
     features = m.feature if features is None else features
-    nodes = closure(contains_edges(m), features.select("id"))
-    own = own_envelopes(m).withColumnRenamed("feature_id", "node_id").where("envelope is not null")
-    boxes = nodes.join(own, "node_id").groupBy(F.col("root_id").alias("id")).agg(
-        env.extent("envelope").alias("_new"))
-    joined = features.join(boxes, "id", "left")
+    boxes = lifted_envelopes(edges, own_envelopes(m, properties).withColumnRenamed("feature_id", "node"))
+    joined = features.join(boxes.select(F.col("node").alias("id"), F.col("envelope").alias("_new")), "id", "left")
     return joined.withColumn("envelope", F.coalesce("_new", "envelope")).drop("_new").select(*features.columns)
 
 

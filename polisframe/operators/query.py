@@ -17,7 +17,7 @@ from polisframe.functions import envelope as env
 from polisframe.functions.scalar import Operand
 from polisframe.functions.temporal import validity
 from polisframe.model import CASTS, VALUE_COLUMNS, CityModel, ModelError, PropertyDef
-from polisframe.runtime import page_rows
+from polisframe.runtime import after_row, page_rows
 
 GENERICS = 3
 
@@ -237,6 +237,11 @@ class FeatureQuery:
         self._page = (limit, start)
         return self
 
+    def after(self, *values) -> "FeatureQuery":
+        """Only features that come after one with these sort values, and its id last: the next page without an offset."""
+        self._after = values
+        return self
+
     # -- results
 
     def _base(self, columns: Iterable[str]) -> DataFrame:
@@ -305,6 +310,11 @@ class FeatureQuery:
         limit, start = self._page
         if order and not any(s[0].name.lower() == "id" for s, _ in self._order):
             order.append(F.col("id"))
+        if getattr(self, "_after", None) is not None:
+            names = [(f"sort_{i}", d) for i, (_, d) in enumerate(self._order)] + [("id", "asc")]
+            if len(self._after) != len(names):
+                raise ModelError(f"after takes {len(names)} values: those of the sort keys and the id")
+            df = df.where(after_row(names, list(self._after)))
         if limit is not None or start:
             df = page_rows(df, order or [F.col("id")], limit, start)
         elif order:

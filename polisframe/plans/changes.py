@@ -81,3 +81,24 @@ query("region_pieces", _CLUSTERS.format(where="") + _RECT + """
     lambda m: cl.region_pieces(m).groupBy("region_id").agg(
         F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"),
         F.min("xmin").alias("left_"), F.max("ymax").alias("top")))
+
+# borders are the sides of elementary rectangles that occur once; holes follow from corners, sides and rectangles (Euler)
+query("region_outlines", _CLUSTERS.format(where="") + _RECT + """,
+  sides AS (SELECT region_id, x AS ax, y AS ay, x2 AS bx, y AS by_ FROM rect UNION ALL SELECT region_id, x, y2, x2, y2 FROM rect
+    UNION ALL SELECT region_id, x, y, x, y2 FROM rect UNION ALL SELECT region_id, x2, y, x2, y2 FROM rect),
+  counted AS (SELECT region_id, bx - ax + by_ - ay AS length, count(*) AS n FROM sides GROUP BY region_id, ax, ay, bx, by_),
+  border AS (SELECT region_id, sum(length) FILTER (n = 1) AS length, count(*) AS e FROM counted GROUP BY 1),
+  corners AS (SELECT region_id, count(*) AS v FROM (SELECT region_id, x, y FROM rect UNION SELECT region_id, x2, y FROM rect
+    UNION SELECT region_id, x, y2 FROM rect UNION SELECT region_id, x2, y2 FROM rect) GROUP BY 1),
+  least AS (SELECT region_id, min([x, y]) AS first FROM rect GROUP BY 1),
+  faces AS (SELECT region_id, count(*) AS f, sum((x2 - x) * (y2 - y)) AS size FROM rect GROUP BY 1)
+  SELECT region_id, size, length, CAST(1 - v + e - f AS INTEGER) AS holes, CAST(2 - v + e - f AS INTEGER) AS rings, first[1] AS first_x, first[2] AS first_y
+  FROM faces JOIN border USING (region_id) JOIN corners USING (region_id) JOIN least USING (region_id)""", recursive=True)(
+    lambda m: cl.region_outlines(m).select("region_id", "size", "length", "holes", F.size("rings").alias("rings"),
+                                           F.col("rings")[0][0][0].alias("first_x"), F.col("rings")[0][0][1].alias("first_y")))
+_PAIRS = """SELECT f.id AS feature_id, c.id AS change_id FROM feature f JOIN feature_changelog c
+    ON f.xmin <= c.xmax + {d} AND f.xmax >= c.xmin - {d} AND f.ymin <= c.ymax + {d} AND f.ymax >= c.ymin - {d} WHERE f.objectclass_id = 20{near}"""
+query("spatial_join", _PAIRS.format(d=0, near=""))(lambda m: cl.changes_near(m, m.feature.where("objectclass_id = 20")))
+query("spatial_join_near", _PAIRS.format(d=2.5, near=""" AND c.transaction_type = 'delete'
+    AND pow(greatest(f.xmin - c.xmax, c.xmin - f.xmax, 0), 2) + pow(greatest(f.ymin - c.ymax, c.ymin - f.ymax, 0), 2) <= 6.25"""))(
+    lambda m: cl.changes_near(m, m.feature.where("objectclass_id = 20"), 2.5, transaction_types=["delete"]))

@@ -72,7 +72,7 @@ def _pricey(m):
 query("properties_of", f"""SELECT p.id, CASE namespace_id WHEN 1 THEN 'core' WHEN 2 THEN 'own' ELSE 'gen' END AS namespace,
       name, CASE datatype_id WHEN 7 THEN 'Code' WHEN 8 THEN 'Measure' WHEN 9 THEN 'FeatureProperty'
         WHEN 10 THEN 'GeometryProperty' END AS datatype, val_string, val_double
-    FROM property p WHERE feature_id IN ({_PRICEY})""")(
+    FROM property p JOIN (SELECT DISTINCT id AS feature_id FROM ({_PRICEY})) USING (feature_id)""")(
     lambda m: h.properties_of(m, _pricey(m)).select("id", "namespace", "name", "datatype", "val_string", "val_double"))
 query("features_of", f"SELECT id, objectid, xmin FROM feature WHERE id IN ({_PRICEY})")(
     lambda m: h.features_of(m, _pricey(m)).select("id", "objectid", "envelope.xmin"))
@@ -99,27 +99,80 @@ query("assemble", f"""{tree(_PRICEY)} SELECT root_id, depth, node_id AS feature_
     FROM tree JOIN feature f ON f.id = node_id LEFT JOIN property p ON p.feature_id = node_id""", recursive=True)(
     lambda m: h.assemble(m, _pricey(m)).select("root_id", "depth", "feature_id", "objectclass_id", "objectid", "id",
                                                "parent_id", "name", "val_feature_id", "is_reference"))
-query("nested_trees", f"""{tree(_PRICEY)} SELECT root_id, CAST(ceil(count(*) / 20.0::DOUBLE) AS BIGINT) AS max_parts,
-      count(*) AS nodes FROM tree LEFT JOIN property p ON p.feature_id = node_id GROUP BY 1""", recursive=True)(
-    lambda m: h.nested(h.assemble(m, _pricey(m)), max_nodes=20).groupBy("root_id").agg(
-        F.ceil(F.sum(F.size("nodes")) / 20).alias("max_parts"), F.sum(F.size("nodes")).alias("nodes")))
+# contains edges by name, as the trees of the model have three levels; suppliers that items share are a second occurrence
+_JSON = """WITH value AS MATERIALIZED (SELECT p.*, coalesce(val_string, CAST(val_int AS VARCHAR), CAST(CAST(round(val_double * 100) AS BIGINT) AS VARCHAR)) AS v,
+      t.objectid AS target FROM property p LEFT JOIN feature t ON t.id = p.val_feature_id
+      WHERE p.feature_id // 64 IN (SELECT id // 64 FROM ({roots})) AND p.feature_id % 64 < 60),
+  d AS (SELECT p.feature_id, string_agg('{{"children":[],"feature":null,"id":' || p.id || ',"lod":' || coalesce('"' || val_lod || '"', 'null') || ',"name":"' || name
+      || '","reference":null,"value":' || coalesce('"' || v || '"', 'null') || '}}', ',' ORDER BY name, p.id) AS ps
+    FROM value p WHERE p.feature_id % 64 >= 16 GROUP BY 1),
+  dj AS (SELECT f.id, '{{"class":"ItemDetail","id":' || f.id || ',"objectid":"' || f.objectid || '","properties":[' || coalesce(ps, '') || ']}}' AS j
+    FROM feature f LEFT JOIN d ON d.feature_id = f.id WHERE f.objectclass_id = 22),
+  i AS (SELECT p.feature_id, string_agg('{{"children":[],"feature":' || coalesce(j, 'null') || ',"id":' || p.id || ',"lod":' || coalesce('"' || val_lod || '"', 'null')
+      || ',"name":"' || name || '","reference":' || coalesce('"' || CASE WHEN j IS NULL THEN target END || '"', 'null') || ',"value":' || coalesce('"' || v || '"', 'null') || '}}', ','
+      ORDER BY name, p.id) AS ps FROM value p LEFT JOIN dj ON dj.id = p.val_feature_id AND name = 'boundary' WHERE p.feature_id % 64 BETWEEN 1 AND 15 GROUP BY 1),
+  ij AS (SELECT f.id, '{{"class":"OrderItem","id":' || f.id || ',"objectid":"' || f.objectid || '","properties":[' || coalesce(ps, '') || ']}}' AS j
+    FROM feature f LEFT JOIN i ON i.feature_id = f.id WHERE f.objectclass_id = 21),
+  o AS (SELECT p.feature_id, string_agg('{{"children":[],"feature":' || coalesce(j, 'null') || ',"id":' || p.id || ',"lod":' || coalesce('"' || val_lod || '"', 'null')
+      || ',"name":"' || name || '","reference":null,"value":' || coalesce('"' || v || '"', 'null') || '}}', ',' ORDER BY name, p.id) AS ps
+    FROM value p LEFT JOIN ij ON ij.id = p.val_feature_id WHERE p.feature_id % 64 = 0 GROUP BY 1)
+  SELECT r.id AS root_id, '{{"class":"Order","id":' || r.id || ',"objectid":"' || f.objectid || '","properties":[' || coalesce(ps, '') || ']}}' AS tree
+  FROM ({roots}) r JOIN feature f ON f.id = r.id LEFT JOIN o ON o.feature_id = r.id"""
+
+
+def _text_value():
+    cents = F.round(F.col("val_double") * 100).cast("bigint").cast("string")
+    return F.coalesce("val_string", F.col("val_int").cast("string"), cents).cast("variant")
+
+
+query("nested_trees", _JSON.format(roots=_PRICEY))(
+    lambda m: h.nested(m, _pricey(m), _text_value()).select("root_id", F.to_json("tree").alias("tree")))
+query("sort_properties", f"""SELECT p.feature_id AS root_id, p.id, name, row_number() OVER (PARTITION BY p.feature_id ORDER BY name, p.id) AS pos
+    FROM property p WHERE feature_id IN ({_PRICEY})""")(
+    lambda m: h.nested(m, _pricey(m)).select("root_id", F.posexplode(F.expr("variant_get(tree, '$.properties', 'array<variant>')")).alias("pos", "p")).select(
+        "root_id", F.expr("variant_get(p, '$.id', 'bigint')").alias("id"), F.expr("variant_get(p, '$.name', 'string')").alias("name"), (F.col("pos") + 1).alias("pos")))
+
+
+def _shared_suppliers(m):
+    """The model in which items contain their suppliers, so that some suppliers occur twice in an order."""
+    return m.replace(property=m.property.withColumn("val_relation_type", F.when(F.col("name") == "supplier", 1).otherwise(F.col("val_relation_type"))))
+
+
+_SHARED = f"""WITH r AS ({_PRICEY}), s AS (SELECT r.id AS root_id, i.feature_id AS item, i.id AS property_id, i.val_feature_id AS supplier
+    FROM r JOIN property c ON c.feature_id = r.id AND c.name = 'item' JOIN property i ON i.feature_id = c.val_feature_id AND i.name = 'supplier'),
+  first AS (SELECT root_id, supplier, min(property_id) AS property_id FROM s GROUP BY 1, 2)"""
+query("nested_second_occurrences", _SHARED + """ SELECT root_id, s.property_id, CASE WHEN first.property_id IS NULL THEN 'S_' || (supplier // 64) END AS reference,
+    CASE WHEN first.property_id IS NOT NULL THEN 'S_' || (supplier // 64) END AS feature FROM s LEFT JOIN first USING (root_id, supplier, property_id)""")(
+    lambda m: _suppliers(_shared_suppliers(m)))
+
+
+def _suppliers(m):
+    get = lambda path, kind: F.expr(f"variant_get({path}, '{kind}')")
+    inner = "array<variant>"
+    items = h.nested(m, _pricey(m)).select("root_id", F.explode(get("tree, '$.properties'", inner)).alias("p")).select(
+        "root_id", F.explode(get("p, '$.feature.properties'", inner)).alias("i"))
+    return items.where(get("i, '$.name'", "string") == "supplier").select(
+        "root_id", get("i, '$.id'", "bigint").alias("property_id"), get("i, '$.reference'", "string").alias("reference"), get("i, '$.feature.objectid'", "string").alias("feature"))
+
+
+query("assemble_second_occurrences", _SHARED + """, found AS (SELECT DISTINCT root_id, supplier FROM s)
+    SELECT count(*) AS suppliers, (SELECT count(*) FROM s) AS occurrences FROM found""")(
+    lambda m: _occurrences(_shared_suppliers(m)))
+
+
+def _occurrences(m):
+    rows = h.assemble(m, _pricey(m))
+    found = rows.where("objectclass_id = 11 and not is_reference").select("root_id", "feature_id").distinct().select(F.lit(1).alias("a"), F.lit(0).alias("b"))
+    held = rows.where("name = 'supplier'").select(F.lit(0).alias("a"), F.lit(1).alias("b"))
+    return found.unionByName(held).agg(F.sum("a").alias("suppliers"), F.sum("b").alias("occurrences"))
+
+
 query("nested_attributes", """SELECT p.feature_id, p.name AS outer_name, c.name AS inner_name, c.val_int, c.val_string
-    FROM property p JOIN property c ON c.parent_id = p.id""")(
+    FROM property c JOIN property p ON p.id = c.parent_id AND p.feature_id = c.feature_id WHERE c.parent_id IS NOT NULL""")(
     lambda m: m.property.where("parent_id is not null").select("parent_id", F.col("name").alias("inner_name"),
                                                                "val_int", "val_string")
     .join(m.property.select(F.col("id").alias("parent_id"), "feature_id", F.col("name").alias("outer_name")),
           "parent_id").drop("parent_id"))
-query("sort_properties", """SELECT feature_id, name, id, row_number() OVER (PARTITION BY feature_id, name ORDER BY id) AS pos
-    FROM property WHERE name IN ('quantity', 'flag')""")(
-    lambda m: _positions(h.sort_properties(m.property.where("name in ('quantity', 'flag')"))))
-
-
-def _positions(rows):
-    from pyspark.sql import Window
-    w = Window.partitionBy("feature_id", "name").orderBy("id")
-    return rows.select("feature_id", "name", "id", F.row_number().over(w).alias("pos"))
-
-
 _ROWS = f"{tree()}, rows AS (SELECT root_id, p.* FROM tree JOIN property p ON p.feature_id = node_id)"
 for _mode in ("keep", "remove", "minimum", "maximum"):
     def _keep(mode=_mode):
@@ -167,6 +220,11 @@ query("update_envelopes", f"""{tree()}, {_OWN}, new AS (
       recursive=True)(
     lambda m: h.update_envelopes(m, m.feature.where("objectclass_id = 20")).select(
         "id", "envelope.xmin", "envelope.ymin", "envelope.xmax", "envelope.ymax"))
+query("update_envelopes_all", f"""{tree("SELECT id FROM feature")}, {_OWN}, new AS (
+      SELECT root_id AS id, {_BOX} FROM tree JOIN boxes ON feature_id = node_id GROUP BY 1)
+    SELECT f.id, coalesce(n.xmin, f.xmin) AS xmin, coalesce(n.ymin, f.ymin) AS ymin, coalesce(n.xmax, f.xmax) AS xmax,
+      coalesce(n.ymax, f.ymax) AS ymax FROM feature f LEFT JOIN new n ON n.id = f.id""", recursive=True)(
+    lambda m: h.update_envelopes(m).select("id", "envelope.xmin", "envelope.ymin", "envelope.xmax", "envelope.ymax"))
 _M = (0.5, -2.0, 0.0, 10.0, 2.0, 0.5, 0.0, -5.0, 0.0, 0.0, 1.0, 3.0)
 query("affine_transform", """SELECT id, 0.5 * xmin - 2 * ymax + 10 AS xmin, 2 * xmin + 0.5 * ymin - 5 AS ymin,
       zmin + 3 AS zmin, 0.5 * xmax - 2 * ymin + 10 AS xmax, 2 * xmax + 0.5 * ymax - 5 AS ymax, zmax + 3 AS zmax

@@ -42,6 +42,8 @@ for _mode, _where in (("intersects", "xmin <= 400 AND xmax >= 100 AND ymin <= 40
     _bbox()
 query("load_limit", "SELECT id FROM feature WHERE objectclass_id IN (20, 21) ORDER BY objectclass_id, id LIMIT 900 OFFSET 300")(
     lambda m: ld.load_limit(m.feature.where("objectclass_id in (20, 21)"), 900, 300, ("objectclass_id", "id")).select("id"))
+query("load_limit_deep", "SELECT id FROM feature WHERE objectclass_id IN (20, 21) ORDER BY objectclass_id, id LIMIT 20000 OFFSET 12000")(
+    lambda m: ld.load_limit(m.feature.where("objectclass_id in (20, 21)"), 20000, 12000, ("objectclass_id", "id")).select("id"))
 query("assign_ids", "SELECT id AS old_id, 999 + row_number() OVER (ORDER BY id) AS new_id FROM feature")(
     lambda m: ld.assign_ids(m.feature.select(F.col("id").alias("old_id")), 1000, [F.col("old_id")], "new_id"))
 query("assign_ids_any_order", "SELECT count(*) AS n, count(*) AS keys, 7 AS low, count(*) + 6 AS high FROM property")(

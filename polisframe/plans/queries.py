@@ -236,8 +236,7 @@ query("sql_filter", """SELECT id, objectclass_id FROM feature WHERE objectclass_
     SELECT feature_id FROM property WHERE name = 'balance' AND val_double > 9000)""")(
     lambda m: FeatureQuery(m, ["Customer"]).sql(
         "select feature_id from property where name = 'balance' and val_double > 9000").result())
-query("in_ids", """SELECT id, name FROM property WHERE feature_id IN (
-    SELECT feature_id FROM property WHERE name = 'price' AND val_double > 490000)""")(
+query("in_ids", """SELECT p.id, p.name FROM property p JOIN (SELECT feature_id FROM property WHERE name = 'price' AND val_double > 490000) USING (feature_id)""")(
     lambda m: oq.in_ids(m.property, m.property.where("name = 'price' and val_double > 490000").select("feature_id"),
                         "feature_id").select("id", "name"))
 query("convert_length", "SELECT id, round(zmax / 0.3048::DOUBLE, 6) AS height_ft FROM feature WHERE zmax IS NOT NULL")(
@@ -348,6 +347,12 @@ query("page_without_sort", "SELECT id FROM feature WHERE objectclass_id = 10 ORD
     lambda m: FeatureQuery(m, ["Customer"]).page(40, 25).result().select("id"))
 query("page_offset_only", "SELECT id FROM feature WHERE objectclass_id = 20 ORDER BY id OFFSET 1000")(
     lambda m: FeatureQuery(m, ["Order"]).page(None, 1000).result().select("id"))
+query("page_deep", """SELECT f.id FROM feature f JOIN property r ON r.feature_id = f.id AND r.name = 'price'
+    ORDER BY r.val_double DESC, f.id LIMIT 9000 OFFSET 4000""")(
+    lambda m: FeatureQuery(m, ["Order"]).sort_by(("price", "desc")).page(9000, 4000).result().select("id"))
+query("page_after", """SELECT f.id FROM feature f JOIN property r ON r.feature_id = f.id AND r.name = 'price'
+    WHERE r.val_double < 250000 OR (r.val_double = 250000 AND f.id > 64) ORDER BY r.val_double DESC, f.id LIMIT 300""")(
+    lambda m: FeatureQuery(m, ["Order"]).sort_by(("price", "desc")).after(250000.0, 64).page(300).result().select("id"))
 query("sequenced_output", """SELECT id, row_number() OVER (ORDER BY val_double DESC NULLS FIRST, id) AS sequence_id
     FROM (SELECT f.id, p.val_double FROM feature f JOIN property p ON p.feature_id = f.id AND p.name = 'price')""")(
     lambda m: oq.sequenced(m.property.where("name = 'price'").select(F.col("feature_id").alias("id"), "val_double"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,10 +98,53 @@ def _with_offsets(numbered: DataFrame, name: str, start: int) -> DataFrame:
     )
 
 
-def page_rows(df: DataFrame, order: list[Column], limit: int | None, start: int = 0) -> DataFrame:
-    """Rows ``start + 1 … start + limit`` in ``order``, as a lazy plan whatever the size: Spark merges the tasks' first
-    rows, or sorts by range where ``spark.sql.execution.topKSortFallbackThreshold`` says so."""
-    out = df.orderBy(*order)
-    if start:
-        out = out.offset(start)
-    return out if limit is None else out.limit(limit)
+#: Rows of a first page that the tasks merge among themselves; deeper pages are cut out of ranges.
+FIRST_ROWS = 10_000
+
+
+def page_rows(df: DataFrame, order: list[Column], limit: int | None, start: int = 0, first_rows: int = FIRST_ROWS) -> DataFrame:
+    """Rows ``start + 1 … start + limit`` in ``order``, sorted.
+
+    A page within the first ``first_rows`` is a lazy top-k. Any other is cut out of the sorted rows: they are written once, one folder a range of the
+    order, the rows of each range are counted, and only the ranges that the page meets are read. ``order`` should end in a unique column.
+    """
+    if limit is not None and start + limit <= first_rows:
+        out = df.orderBy(*order)
+        return (out.offset(start) if start else out).limit(limit)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/page-{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed.withColumn("_range", F.shiftright("_place", 33).cast("int")).write.partitionBy("_range").parquet(folder)
+    ranges = spark.read.schema(T.StructType([*placed.schema, T.StructField("_range", T.IntegerType())])).parquet(folder)
+    met, before = F.lit(False), 0
+    row = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    end = None if limit is None else start + limit
+    inner = []
+    for number, size in sorted(map(tuple, ranges.groupBy("_range").count().collect())):  # a row a range
+        first, last = max(0, start - before), size if end is None else min(size, end - before)
+        if (first, last) == (0, size):
+            inner.append(number)
+        elif first < last:
+            met |= (F.col("_range") == number) & (row >= first) & (row < last)
+        before += size
+    if inner:
+        met |= F.col("_range").between(inner[0], inner[-1])
+    return ranges.where(met).orderBy("_place").drop("_place", "_range")
+
+
+def after_row(order: list[tuple[str, str]], values: list) -> Column:
+    """Whether a row comes after the one with these ``values`` in ``order`` ((column, asc or desc) …); nulls are last ascending and first descending.
+
+    A filter for the next page that needs no offset: it is pushed down to the files.
+    """
+    out = F.lit(False)
+    for (name, direction), value in reversed(list(zip(order, values, strict=True))):
+        c = F.col(name)
+        if direction == "asc":
+            later = F.lit(False) if value is None else c.isNull() | (c > F.lit(value))
+        else:
+            later = c.isNotNull() if value is None else c < F.lit(value)
+        out = F.coalesce(later, F.lit(False)) | (c.eqNullSafe(F.lit(value)) & out)
+    return out

@@ -1,6 +1,7 @@
 """Hand-built edge cases: cycles, shared children, boxes, polygons, validity, sorting, references, crowded clusters."""
 
 import datetime as dt
+import json
 import itertools
 import random
 
@@ -21,7 +22,7 @@ from polisframe.operators import regions
 from polisframe.operators import removal as rm
 from polisframe.operators import tiling as tl
 from polisframe.operators.components import components
-from polisframe.runtime import number_rows, page_rows
+from polisframe.runtime import after_row, number_rows, page_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,10 +98,34 @@ def test_terminate_leaves_terminated_rows(spark, base):
     assert kept is m and again.count() == 1
 
 
-def test_nested_spreads_a_large_root(spark, base):
-    m = make(spark, base, feats(*range(1, 60)), edges(*[(1, i) for i in range(2, 60)]))
-    rows = h.nested(h.assemble(m, m.feature.where("id = 1").select("id")), max_nodes=10).collect()
-    assert len(rows) > 1 and sum(len(r.nodes) for r in rows) == 58 + 58
+def test_nested_is_one_tree_whatever_its_size(spark, base):
+    """Cycles, shared features, nested attributes and a wide root; a second occurrence is a reference."""
+    props = edges(*[(1, i) for i in range(2, 60)], (2, 1), (3, 61), (4, 61)) + [
+        dict(id=201, feature_id=61, name="dims", namespace_id=2), dict(id=203, feature_id=61, parent_id=201, name="size", namespace_id=2, val_int=7),
+        dict(id=202, feature_id=61, parent_id=201, name="size", namespace_id=2, val_double=1.5), dict(id=204, feature_id=61, parent_id=203, name="unit", namespace_id=2, val_string="m"),
+        dict(id=205, feature_id=61, name="also", namespace_id=2, val_feature_id=5, val_relation_type=0)]
+    m = make(spark, base, feats(*range(1, 60), 61), props)
+    (row,) = h.nested(m, m.feature.where("id = 1").select("id")).select("root_id", F.to_json("tree").alias("t")).collect()
+    tree = json.loads(row.t)
+    held = {p["feature"]["id"]: p["feature"] for p in tree["properties"]}
+    assert row.root_id == tree["id"] == 1 and sorted(held) == list(range(2, 60)) and tree["class"] == "Order"
+    assert held[2]["properties"][0]["reference"] == "f1" and held[2]["properties"][0]["feature"] is None
+    inner, second = held[3]["properties"][0], held[4]["properties"][0]
+    assert second["feature"] is None and second["reference"] == "f61"
+    also, dims = inner["feature"]["properties"]
+    assert also["reference"] == "f5" and also["feature"] is None
+    assert [(c["id"], c["value"]) for c in dims["children"]] == [(202, 1.5), (203, 7)]
+    assert dims["children"][1]["children"][0]["value"] == "m"
+    assert h.nested(m, m.feature.where("id = 0").select("id")).collect() == []
+
+
+def test_envelopes_grow_from_the_leaves(spark, base):
+    box = lambda a, b: (float(a), 0.0, None, float(b), 1.0, None)
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (4, 5), (6, 6)], "parent bigint, child bigint")
+    own = spark.createDataFrame([(3, box(0, 2)), (5, box(7, 9)), (2, None), (8, box(1, 1))], "node bigint, envelope struct<xmin:double,ymin:double,zmin:double,xmax:double,ymax:double,zmax:double>")
+    got = {r.node: (r.envelope.xmin, r.envelope.xmax, r.envelope.zmin) for r in h.lifted_envelopes(links, own).collect()}
+    assert got == {1: (0, 2, None), 2: (0, 2, None), 3: (0, 2, None), 4: (0, 9, None), 5: (7, 9, None), 8: (1, 1, None)}
+    assert ids(h.contained(links, spark.createDataFrame([(4,)], "id bigint")), "node") == [1, 2, 3, 4, 5]
 
 
 # -- queries
@@ -154,10 +179,27 @@ def test_null_order_and_ties(spark, base):
 def test_pages_and_row_numbers(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("id"))
     assert [r.id for r in page_rows(df, [F.col("id")], 100, 50).collect()] == list(range(50, 150))
+    for limit, start in ((None, 0), (None, 100), (10**9, 490), (20, 495), (None, 500), (0, 600)):
+        deep = page_rows(df.withColumn("extra", F.lit("x")), [F.col("id").desc()], limit, start, first_rows=0)
+        want = list(range(499, -1, -1))[start:None if limit is None else start + limit]
+        assert [r.id for r in deep.collect()] == want and deep.columns == ["id", "extra"]
+        assert "SinglePartition" not in deep._jdf.queryExecution().executedPlan().toString()
+    assert page_rows(df.where("false"), [F.col("id")], None, 3).collect() == []
     numbered = number_rows(df, [F.col("id").desc()], "n", 5)
     assert all(r.n == 5 + 499 - r.id for r in numbered.collect())
 
 
+@pytest.mark.parametrize("ways", [("asc", "asc"), ("desc", "asc"), ("asc", "desc"), ("desc", "desc")])
+def test_pages_after_a_row(spark, ways):
+    rows = [(a, b) for a in (None, 1, 2) for b in (None, 1, 2)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    by = [F.col(c).asc_nulls_last() if w == "asc" else F.col(c).desc_nulls_first() for c, w in zip("ab", ways)]
+    all_rows = [tuple(r) for r in df.orderBy(*by).collect()]
+    for i, row in enumerate(all_rows):
+        got = df.where(after_row(list(zip("ab", ways)), list(row))).orderBy(*by).collect()
+        assert [tuple(r) for r in got] == all_rows[i + 1:]
+
+
 # -- scalar, time, boxes
 
 def test_arithmetic(spark):
