@@ -11,90 +11,169 @@ from polisframe.runtime import local_frame
 NAMESPACES = {1: "core", 2: "app", 3: "gen", 4: "bldg", 5: "brid", 6: "con", 7: "dem", 8: "frn", 9: "grp", 10: "luse",
               11: "pcl", 12: "tran", 13: "tun", 14: "veg", 15: "vers", 16: "wtr", 17: "dyn"}
 
-# Data types by namespace.
-DATA_TYPES = {
-    "core": "Boolean Integer Double String URI Timestamp Code Measure FeatureProperty GeometryProperty "
-            "ImplicitGeometryProperty AddressProperty AppearanceProperty Reference CityObjectRelation Duration "
-            "ExternalReference MeasureOrNilReasonList Occupancy QualifiedArea QualifiedVolume StringOrRef TimePosition",
-    "con": "ConstructionEvent Elevation Height",
-    "bldg": "RoomHeight",
-    "gen": "GenericAttributeSet",
-    "grp": "Role",
-    "dyn": "AttributeReference SensorConnection TimeseriesComponent TimeAppearance TimeBoolean TimeDouble TimeGeometry "
-           "TimeImplicitGeometry TimeInteger TimeString TimeURI",
-    "vers": "Transaction",
-}
+# Data types as (namespace, name).
+DATA_TYPES = (
+    ("core", "Boolean"),
+    ("core", "Integer"),
+    ("core", "Double"),
+    ("core", "String"),
+    ("core", "URI"),
+    ("core", "Timestamp"),
+    ("core", "Code"),
+    ("core", "Measure"),
+    ("core", "FeatureProperty"),
+    ("core", "GeometryProperty"),
+    ("core", "ImplicitGeometryProperty"),
+    ("core", "AddressProperty"),
+    ("core", "AppearanceProperty"),
+    ("core", "Reference"),
+    ("core", "CityObjectRelation"),
+    ("core", "Duration"),
+    ("core", "ExternalReference"),
+    ("core", "MeasureOrNilReasonList"),
+    ("core", "Occupancy"),
+    ("core", "QualifiedArea"),
+    ("core", "QualifiedVolume"),
+    ("core", "StringOrRef"),
+    ("core", "TimePosition"),
+    ("con", "ConstructionEvent"),
+    ("con", "Elevation"),
+    ("con", "Height"),
+    ("bldg", "RoomHeight"),
+    ("gen", "GenericAttributeSet"),
+    ("grp", "Role"),
+    ("dyn", "AttributeReference"),
+    ("dyn", "SensorConnection"),
+    ("dyn", "TimeseriesComponent"),
+    ("dyn", "TimeAppearance"),
+    ("dyn", "TimeBoolean"),
+    ("dyn", "TimeDouble"),
+    ("dyn", "TimeGeometry"),
+    ("dyn", "TimeImplicitGeometry"),
+    ("dyn", "TimeInteger"),
+    ("dyn", "TimeString"),
+    ("dyn", "TimeURI"),
+    ("vers", "Transaction"),
+)
 
-# Feature types by namespace as Name<Superclass; a name with * is top level, Abstract… is abstract.
-FEATURE_TYPES = {
-    "core": "AbstractFeature AbstractFeatureWithLifespan<AbstractFeature AbstractCityObject<AbstractFeatureWithLifespan "
-            "AbstractSpace<AbstractCityObject AbstractLogicalSpace<AbstractSpace AbstractPhysicalSpace<AbstractSpace "
-            "AbstractOccupiedSpace<AbstractPhysicalSpace AbstractUnoccupiedSpace<AbstractPhysicalSpace "
-            "AbstractSpaceBoundary<AbstractCityObject AbstractThematicSurface<AbstractSpaceBoundary "
-            "AbstractDynamizer<AbstractFeature AbstractPointCloud<AbstractFeature Address<AbstractFeature "
-            "CityModel<AbstractFeatureWithLifespan ClosureSurface<AbstractThematicSurface",
-    "con": "AbstractConstruction<AbstractOccupiedSpace AbstractConstructionSurface<AbstractThematicSurface "
-           "AbstractConstructiveElement<AbstractOccupiedSpace AbstractFillingElement<AbstractOccupiedSpace "
-           "AbstractFillingSurface<AbstractThematicSurface AbstractFurniture<AbstractOccupiedSpace "
-           "AbstractInstallation<AbstractOccupiedSpace CeilingSurface<AbstractConstructionSurface "
-           "Door<AbstractFillingElement DoorSurface<AbstractFillingSurface FloorSurface<AbstractConstructionSurface "
-           "GroundSurface<AbstractConstructionSurface InteriorWallSurface<AbstractConstructionSurface "
-           "OtherConstruction*<AbstractConstruction OuterCeilingSurface<AbstractConstructionSurface "
-           "OuterFloorSurface<AbstractConstructionSurface RoofSurface<AbstractConstructionSurface "
-           "WallSurface<AbstractConstructionSurface Window<AbstractFillingElement WindowSurface<AbstractFillingSurface",
-    "bldg": "AbstractBuilding<AbstractConstruction AbstractBuildingSubdivision<AbstractLogicalSpace "
-            "Building*<AbstractBuilding BuildingPart<AbstractBuilding BuildingConstructiveElement<AbstractConstructiveElement "
-            "BuildingFurniture<AbstractFurniture BuildingInstallation<AbstractInstallation "
-            "BuildingRoom<AbstractUnoccupiedSpace BuildingUnit<AbstractBuildingSubdivision "
-            "Storey<AbstractBuildingSubdivision",
-    "brid": "AbstractBridge<AbstractConstruction Bridge*<AbstractBridge BridgePart<AbstractBridge "
-            "BridgeConstructiveElement<AbstractConstructiveElement BridgeFurniture<AbstractFurniture "
-            "BridgeInstallation<AbstractInstallation BridgeRoom<AbstractUnoccupiedSpace",
-    "tun": "AbstractTunnel<AbstractConstruction Tunnel*<AbstractTunnel TunnelPart<AbstractTunnel "
-           "TunnelConstructiveElement<AbstractConstructiveElement TunnelFurniture<AbstractFurniture "
-           "TunnelInstallation<AbstractInstallation HollowSpace<AbstractUnoccupiedSpace",
-    "tran": "AbstractTransportationSpace<AbstractUnoccupiedSpace Road*<AbstractTransportationSpace "
-            "Railway*<AbstractTransportationSpace Track*<AbstractTransportationSpace Square*<AbstractTransportationSpace "
-            "Waterway*<AbstractTransportationSpace Section<AbstractTransportationSpace "
-            "Intersection<AbstractTransportationSpace TrafficSpace<AbstractUnoccupiedSpace "
-            "AuxiliaryTrafficSpace<AbstractUnoccupiedSpace ClearanceSpace<AbstractUnoccupiedSpace "
-            "Hole<AbstractUnoccupiedSpace TrafficArea<AbstractThematicSurface AuxiliaryTrafficArea<AbstractThematicSurface "
-            "Marking<AbstractThematicSurface HoleSurface<AbstractThematicSurface",
-    "dem": "ReliefFeature*<AbstractSpaceBoundary AbstractReliefComponent<AbstractSpaceBoundary "
-           "BreaklineRelief<AbstractReliefComponent MassPointRelief<AbstractReliefComponent "
-           "RasterRelief<AbstractReliefComponent TINRelief<AbstractReliefComponent",
-    "frn": "CityFurniture*<AbstractOccupiedSpace",
-    "grp": "CityObjectGroup*<AbstractLogicalSpace",
-    "luse": "LandUse*<AbstractThematicSurface",
-    "pcl": "PointCloud<AbstractPointCloud",
-    "veg": "AbstractVegetationObject<AbstractOccupiedSpace PlantCover*<AbstractVegetationObject "
-           "SolitaryVegetationObject*<AbstractVegetationObject",
-    "wtr": "WaterBody*<AbstractOccupiedSpace AbstractWaterBoundarySurface<AbstractThematicSurface "
-           "WaterGroundSurface<AbstractWaterBoundarySurface WaterSurface<AbstractWaterBoundarySurface",
-    "gen": "GenericLogicalSpace*<AbstractLogicalSpace GenericOccupiedSpace*<AbstractOccupiedSpace "
-           "GenericUnoccupiedSpace*<AbstractUnoccupiedSpace GenericThematicSurface<AbstractThematicSurface",
-    "vers": "Version<AbstractFeatureWithLifespan VersionTransition<AbstractFeatureWithLifespan",
-    "dyn": "Dynamizer<AbstractDynamizer AbstractTimeseries<AbstractFeature CompositeTimeseries<AbstractTimeseries "
-           "GenericTimeseries<AbstractTimeseries StandardFileTimeseries<AbstractTimeseries "
-           "TabulatedFileTimeseries<AbstractTimeseries",
-}
+# Feature types as (namespace, name, superclass, top level).
+FEATURE_TYPES = (
+    ("core", "AbstractFeature", None, False),
+    ("core", "AbstractFeatureWithLifespan", "AbstractFeature", False),
+    ("core", "AbstractCityObject", "AbstractFeatureWithLifespan", False),
+    ("core", "AbstractSpace", "AbstractCityObject", False),
+    ("core", "AbstractLogicalSpace", "AbstractSpace", False),
+    ("core", "AbstractPhysicalSpace", "AbstractSpace", False),
+    ("core", "AbstractOccupiedSpace", "AbstractPhysicalSpace", False),
+    ("core", "AbstractUnoccupiedSpace", "AbstractPhysicalSpace", False),
+    ("core", "AbstractSpaceBoundary", "AbstractCityObject", False),
+    ("core", "AbstractThematicSurface", "AbstractSpaceBoundary", False),
+    ("core", "AbstractDynamizer", "AbstractFeature", False),
+    ("core", "AbstractPointCloud", "AbstractFeature", False),
+    ("core", "Address", "AbstractFeature", False),
+    ("core", "CityModel", "AbstractFeatureWithLifespan", False),
+    ("core", "ClosureSurface", "AbstractThematicSurface", False),
+    ("con", "AbstractConstruction", "AbstractOccupiedSpace", False),
+    ("con", "AbstractConstructionSurface", "AbstractThematicSurface", False),
+    ("con", "AbstractConstructiveElement", "AbstractOccupiedSpace", False),
+    ("con", "AbstractFillingElement", "AbstractOccupiedSpace", False),
+    ("con", "AbstractFillingSurface", "AbstractThematicSurface", False),
+    ("con", "AbstractFurniture", "AbstractOccupiedSpace", False),
+    ("con", "AbstractInstallation", "AbstractOccupiedSpace", False),
+    ("con", "CeilingSurface", "AbstractConstructionSurface", False),
+    ("con", "Door", "AbstractFillingElement", False),
+    ("con", "DoorSurface", "AbstractFillingSurface", False),
+    ("con", "FloorSurface", "AbstractConstructionSurface", False),
+    ("con", "GroundSurface", "AbstractConstructionSurface", False),
+    ("con", "InteriorWallSurface", "AbstractConstructionSurface", False),
+    ("con", "OtherConstruction", "AbstractConstruction", True),
+    ("con", "OuterCeilingSurface", "AbstractConstructionSurface", False),
+    ("con", "OuterFloorSurface", "AbstractConstructionSurface", False),
+    ("con", "RoofSurface", "AbstractConstructionSurface", False),
+    ("con", "WallSurface", "AbstractConstructionSurface", False),
+    ("con", "Window", "AbstractFillingElement", False),
+    ("con", "WindowSurface", "AbstractFillingSurface", False),
+    ("bldg", "AbstractBuilding", "AbstractConstruction", False),
+    ("bldg", "AbstractBuildingSubdivision", "AbstractLogicalSpace", False),
+    ("bldg", "Building", "AbstractBuilding", True),
+    ("bldg", "BuildingPart", "AbstractBuilding", False),
+    ("bldg", "BuildingConstructiveElement", "AbstractConstructiveElement", False),
+    ("bldg", "BuildingFurniture", "AbstractFurniture", False),
+    ("bldg", "BuildingInstallation", "AbstractInstallation", False),
+    ("bldg", "BuildingRoom", "AbstractUnoccupiedSpace", False),
+    ("bldg", "BuildingUnit", "AbstractBuildingSubdivision", False),
+    ("bldg", "Storey", "AbstractBuildingSubdivision", False),
+    ("brid", "AbstractBridge", "AbstractConstruction", False),
+    ("brid", "Bridge", "AbstractBridge", True),
+    ("brid", "BridgePart", "AbstractBridge", False),
+    ("brid", "BridgeConstructiveElement", "AbstractConstructiveElement", False),
+    ("brid", "BridgeFurniture", "AbstractFurniture", False),
+    ("brid", "BridgeInstallation", "AbstractInstallation", False),
+    ("brid", "BridgeRoom", "AbstractUnoccupiedSpace", False),
+    ("tun", "AbstractTunnel", "AbstractConstruction", False),
+    ("tun", "Tunnel", "AbstractTunnel", True),
+    ("tun", "TunnelPart", "AbstractTunnel", False),
+    ("tun", "TunnelConstructiveElement", "AbstractConstructiveElement", False),
+    ("tun", "TunnelFurniture", "AbstractFurniture", False),
+    ("tun", "TunnelInstallation", "AbstractInstallation", False),
+    ("tun", "HollowSpace", "AbstractUnoccupiedSpace", False),
+    ("tran", "AbstractTransportationSpace", "AbstractUnoccupiedSpace", False),
+    ("tran", "Road", "AbstractTransportationSpace", True),
+    ("tran", "Railway", "AbstractTransportationSpace", True),
+    ("tran", "Track", "AbstractTransportationSpace", True),
+    ("tran", "Square", "AbstractTransportationSpace", True),
+    ("tran", "Waterway", "AbstractTransportationSpace", True),
+    ("tran", "Section", "AbstractTransportationSpace", False),
+    ("tran", "Intersection", "AbstractTransportationSpace", False),
+    ("tran", "TrafficSpace", "AbstractUnoccupiedSpace", False),
+    ("tran", "AuxiliaryTrafficSpace", "AbstractUnoccupiedSpace", False),
+    ("tran", "ClearanceSpace", "AbstractUnoccupiedSpace", False),
+    ("tran", "Hole", "AbstractUnoccupiedSpace", False),
+    ("tran", "TrafficArea", "AbstractThematicSurface", False),
+    ("tran", "AuxiliaryTrafficArea", "AbstractThematicSurface", False),
+    ("tran", "Marking", "AbstractThematicSurface", False),
+    ("tran", "HoleSurface", "AbstractThematicSurface", False),
+    ("dem", "ReliefFeature", "AbstractSpaceBoundary", True),
+    ("dem", "AbstractReliefComponent", "AbstractSpaceBoundary", False),
+    ("dem", "BreaklineRelief", "AbstractReliefComponent", False),
+    ("dem", "MassPointRelief", "AbstractReliefComponent", False),
+    ("dem", "RasterRelief", "AbstractReliefComponent", False),
+    ("dem", "TINRelief", "AbstractReliefComponent", False),
+    ("frn", "CityFurniture", "AbstractOccupiedSpace", True),
+    ("grp", "CityObjectGroup", "AbstractLogicalSpace", True),
+    ("luse", "LandUse", "AbstractThematicSurface", True),
+    ("pcl", "PointCloud", "AbstractPointCloud", False),
+    ("veg", "AbstractVegetationObject", "AbstractOccupiedSpace", False),
+    ("veg", "PlantCover", "AbstractVegetationObject", True),
+    ("veg", "SolitaryVegetationObject", "AbstractVegetationObject", True),
+    ("wtr", "WaterBody", "AbstractOccupiedSpace", True),
+    ("wtr", "AbstractWaterBoundarySurface", "AbstractThematicSurface", False),
+    ("wtr", "WaterGroundSurface", "AbstractWaterBoundarySurface", False),
+    ("wtr", "WaterSurface", "AbstractWaterBoundarySurface", False),
+    ("gen", "GenericLogicalSpace", "AbstractLogicalSpace", True),
+    ("gen", "GenericOccupiedSpace", "AbstractOccupiedSpace", True),
+    ("gen", "GenericUnoccupiedSpace", "AbstractUnoccupiedSpace", True),
+    ("gen", "GenericThematicSurface", "AbstractThematicSurface", False),
+    ("vers", "Version", "AbstractFeatureWithLifespan", False),
+    ("vers", "VersionTransition", "AbstractFeatureWithLifespan", False),
+    ("dyn", "Dynamizer", "AbstractDynamizer", False),
+    ("dyn", "AbstractTimeseries", "AbstractFeature", False),
+    ("dyn", "CompositeTimeseries", "AbstractTimeseries", False),
+    ("dyn", "GenericTimeseries", "AbstractTimeseries", False),
+    ("dyn", "StandardFileTimeseries", "AbstractTimeseries", False),
+    ("dyn", "TabulatedFileTimeseries", "AbstractTimeseries", False),
+)
 
 
 def standard_catalogue(spark: SparkSession) -> CityModel:
     """A model without features that knows the standard types; load city objects into it with ``shred``."""
     ids = {alias: i for i, alias in NAMESPACES.items()}
-    datatypes = [(alias, name) for alias, names in DATA_TYPES.items() for name in names.split()]
-    classes = []
-    for alias, entries in FEATURE_TYPES.items():
-        for entry in entries.split():
-            name, _, parent = entry.partition("<")
-            classes.append((alias, name.rstrip("*"), parent or None, name.endswith("*")))
-    number = {name: i for i, (_, name, _, _) in enumerate(classes, 1)}
+    number = {name: i for i, (_, name, _, _) in enumerate(FEATURE_TYPES, 1)}
     return CityModel(spark, {
         "namespace": local_frame(spark, [(i, a, None, None) for i, a in NAMESPACES.items()], SCHEMAS["namespace"]),
-        "datatype": local_frame(spark, [(i, None, n, 0, ids[a], None) for i, (a, n) in enumerate(datatypes, 1)],
+        "datatype": local_frame(spark, [(i, None, n, 0, ids[a], None) for i, (a, n) in enumerate(DATA_TYPES, 1)],
                                 SCHEMAS["datatype"]),
         "objectclass": local_frame(spark, [
             (number[n], number.get(p), n, int(n.startswith("Abstract")), int(top), ids[a],
-             "address" if n == "Address" else "feature", None) for a, n, p, top in classes], SCHEMAS["objectclass"]),
+             "address" if n == "Address" else "feature", None) for a, n, p, top in FEATURE_TYPES], SCHEMAS["objectclass"]),
     })
