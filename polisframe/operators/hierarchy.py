@@ -7,6 +7,7 @@ own. Rounds are checkpointed to the shared folder; their number is the depth of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -197,8 +198,8 @@ def property_value() -> Column:
     return F.coalesce(*[F.col(c).cast("variant") for c in plain])
 
 
-def _unfolded(m: CityModel, roots: DataFrame, value: Column) -> list[DataFrame]:
-    """The items of all trees, level by level: features, their properties, and what those hold.
+def unfolded(m: CityModel, roots: DataFrame, valued: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """The items of all trees, level by level: features, their properties, and what those hold. ``valued`` adds ``value`` to property rows.
 
     Item: (root_id, kind, key, parent_kind, parent_key, name, class, objectid, lod, reference, value). A feature is an item where it comes first:
     on the least level of its root, there under the least property; any other property that holds it refers to it.
@@ -208,9 +209,9 @@ def _unfolded(m: CityModel, roots: DataFrame, value: Column) -> list[DataFrame]:
     features = checkpointed(m.feature.join(inside, m.feature["id"] == inside["node_id"], "left_semi").select(
         F.col("id").alias("key"), "objectclass_id", "objectid").join(classes, "objectclass_id", "left").drop("objectclass_id"))
     targets = m.feature.select(F.col("id").alias("val_feature_id"), F.col("objectid").alias("target"))
-    own = m.property.withColumn("value", value).select(
-        F.col("id").alias("key"), "feature_id", "parent_id", "name", F.col("val_lod").alias("lod"), "val_feature_id", "val_relation_type", "value")
-    own = own.join(inside.select(F.col("node_id").alias("feature_id")), "feature_id", "left_semi")
+    own = valued(m.property.join(inside.select(F.col("node_id").alias("feature_id")), "feature_id", "left_semi"))
+    kind = own.schema["value"].dataType
+    own = own.select(F.col("id").alias("key"), "feature_id", "parent_id", "name", F.col("val_lod").alias("lod"), "val_feature_id", "val_relation_type", "value")
     properties = checkpointed(own.join(targets, "val_feature_id", "left"))
     held = properties["val_feature_id"].isNotNull() & (properties["val_relation_type"] == CONTAINS)
     first = roots.select(F.col(roots.columns[0]).alias("root_id"), F.col(roots.columns[0]).alias("key")).distinct()
@@ -218,10 +219,10 @@ def _unfolded(m: CityModel, roots: DataFrame, value: Column) -> list[DataFrame]:
     now = checkpointed(first.join(features, "key").select(
         "root_id", F.lit("f").alias("kind"), "key", nothing.cast("string").alias("parent_kind"), nothing.cast("bigint").alias("parent_key"),
         nothing.cast("string").alias("name"), "class", "objectid", nothing.cast("string").alias("lod"), nothing.cast("bigint").alias("child"), nothing.cast("string").alias("target"),
-        nothing.cast("variant").alias("value")))
+        nothing.cast(kind).alias("value")))
     columns, levels = now.columns, []
     seen = now.select("root_id", "objectid")
-    while not now.isEmpty():
+    while not levels or not now.isEmpty():
         levels.append(now)
         above = now.select("root_id", F.col("kind").alias("parent_kind"), F.col("key").alias("parent_key"))
         member = properties.withColumns({"parent_kind": F.when(F.col("parent_id").isNull(), "f").otherwise("p"), "parent_key": F.coalesce("parent_id", "feature_id")})
@@ -231,7 +232,7 @@ def _unfolded(m: CityModel, roots: DataFrame, value: Column) -> list[DataFrame]:
         new = holders.join(features.withColumnRenamed("key", "child"), "child").join(seen, ["root_id", "objectid"], "left_anti")
         chosen = new.groupBy("root_id", "objectid").agg(F.min(F.struct("parent_key", "child", "class")).alias("c")).select(
             "root_id", F.lit("f").alias("kind"), F.col("c.child").alias("key"), F.lit("p").alias("parent_kind"), "c.parent_key", nothing.cast("string").alias("name"), "c.class",
-            "objectid", nothing.cast("string").alias("lod"), nothing.cast("bigint").alias("child"), nothing.cast("string").alias("target"), nothing.cast("variant").alias("value"))
+            "objectid", nothing.cast("string").alias("lod"), nothing.cast("bigint").alias("child"), nothing.cast("string").alias("target"), nothing.cast(kind).alias("value"))
         now = checkpointed(below.unionByName(chosen))
         seen = seen.unionByName(now.where("kind = 'f'").select("root_id", "objectid"))
     return levels
@@ -250,25 +251,31 @@ def nested(m: CityModel, roots: DataFrame, value: Column | None = None) -> DataF
     inside it, ``feature`` is what it contains, ``reference`` the objectid of a feature that stands elsewhere. ``value`` is a VARIANT of a property
     row, by default its own value. Trees are folded from the deepest level up; a level meets the one above it in one join.
     """
-    levels = _unfolded(m, roots, property_value() if value is None else value)
-    empty = F.array().cast("array<variant>")
+    own = property_value() if value is None else value
+    elsewhere = F.when(F.col("feature").isNull(), F.col("target"))
+    as_property = F.to_variant_object(F.struct(F.col("members").alias("children"), "feature", F.col("key").alias("id"), "lod", "name", elsewhere.alias("reference"), "value"))
+    as_feature = F.to_variant_object(F.struct("class", F.col("key").alias("id"), "objectid", F.col("members").alias("properties")))
+    return folded(unfolded(m, roots, lambda rows: rows.withColumn("value", own)), as_property, as_feature, "variant")
+
+
+def folded(levels: list[DataFrame], as_property: Column, as_feature: Column, kind: str) -> DataFrame:
+    """(root_id, tree): the items of ``unfolded`` put into each other from the deepest level up.
+
+    The two columns make the item of a property and of a feature, of type ``kind``, from its own columns, ``members`` (the items of the
+    properties in it, in order) and ``feature`` (the item of the feature that it contains).
+    """
+    empty = F.array().cast(f"array<{kind}>")
     kids = None
     for level in reversed(levels):
         if kids is None:
-            level = level.withColumns({"members": empty, "feature": F.lit(None).cast("variant")})
+            level = level.withColumns({"members": empty, "feature": F.lit(None).cast(kind)})
         else:
             level = level.join(kids, ["root_id", "kind", "key"], "left").withColumn("members", F.coalesce("members", empty))
-        elsewhere = F.when(F.col("feature").isNull(), F.col("target"))
-        as_property = F.to_variant_object(F.struct(
-            F.col("members").alias("children"), "feature", F.col("key").alias("id"), "lod", "name", elsewhere.alias("reference"), "value"))
-        as_feature = F.to_variant_object(F.struct("class", F.col("key").alias("id"), "objectid", F.col("members").alias("properties")))
         made = level.select("root_id", "kind", "parent_kind", "parent_key", "name", "key", F.when(F.col("kind") == "p", as_property).otherwise(as_feature).alias("item"))
         inner = F.when(F.col("kind") == "p", F.struct("name", "key", "item"))
         kids = made.groupBy("root_id", F.col("parent_kind").alias("kind"), F.col("parent_key").alias("key")).agg(
             F.collect_list(inner).alias("unsorted"), F.first(F.when(F.col("kind") == "f", F.col("item")), ignorenulls=True).alias("feature"))
         kids = kids.select("root_id", "kind", "key", sort_properties("unsorted").alias("members"), "feature")
-    if kids is None:
-        return roots.select(F.col(roots.columns[0]).alias("root_id"), F.lit(None).cast("variant").alias("tree")).where(F.lit(False))
     return kids.select("root_id", F.col("feature").alias("tree"))
 
 

@@ -156,8 +156,8 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
     model that the result is merged into).
 
     ``objects`` has: file, seq, objectid, parent_objectid (null at the top), objectclass_id, envelope, attributes
-    (VARIANT object) and geometries (array of struct lod, geometry_type, nodes, primitives). Attributes become one
-    property row each; objects inside attributes become nested rows under their parent's id, level by level. A repeated
+    (VARIANT object), geometries (array of struct lod, geometry_type, nodes, primitives), and maybe units (map of attribute
+    names to units of measure). Attributes become one property row each; objects inside attributes become nested rows under their parent's id, level by level. A repeated
     object id becomes a reference to its first occurrence.
     """
     marked = dedupe_objects(objects.withColumn("kind", F.lit("feature")), ("kind", "objectid"), "seq").drop("kind")
@@ -181,14 +181,15 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
                                val_geometry_id=F.col("geometry_id"))
 
     plain = child.unionByName(shape_rows)
+    units = F.col("units") if "units" in keyed.columns else F.lit(None).cast("map<string,string>")
     level = keyed.where("attributes is not null").select(
-        F.col("id").alias("feature_id"), F.lit(None).cast("bigint").alias("parent_id"), "attributes")
+        F.col("id").alias("feature_id"), F.lit(None).cast("bigint").alias("parent_id"), "attributes", units.alias("units"))
     properties = assign_ids(plain, property_start)
     next_id = _next_id(properties, property_start)
     while True:
         spark = level.sparkSession
         entries = level.lateralJoin(spark.tvf.variant_explode(F.col("attributes").outer())).select(
-            "feature_id", "parent_id", F.col("key").alias("name"), "value")
+            "feature_id", "parent_id", F.col("key").alias("name"), "value", F.col("units")[F.col("key")].alias("uom"))
         entries = entries.where("not is_variant_null(value)")
         kind = F.schema_of_variant("value")
         entries = entries.withColumn("shape", kind)
@@ -198,7 +199,7 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
         properties = properties.unionByName(_attribute_rows(numbered))
         next_id = _next_id(numbered, next_id)
         level = numbered.where("shape like 'OBJECT%'").select(
-            "feature_id", F.col("id").alias("parent_id"), F.col("value").alias("attributes"))
+            "feature_id", F.col("id").alias("parent_id"), F.col("value").alias("attributes"), F.lit(None).cast("map<string,string>").alias("units"))
     types = m.datatype.select(F.col("id").alias("datatype_id"), F.col("typename").alias("datatype"))
     properties = properties.join(types, "datatype", "left").drop("datatype")
     return m.replace(feature=_conform(feature, m.feature), property=_conform(properties, m.property),
@@ -216,7 +217,7 @@ def _next_id(numbered: DataFrame, start: int) -> int:
 
 
 _VALUES = {"val_int": "bigint", "val_double": "double", "val_string": "string", "val_array": "string",
-           "val_lod": "string", "val_geometry_id": "bigint", "val_feature_id": "bigint", "val_relation_type": "int",
+           "val_uom": "string", "val_lod": "string", "val_geometry_id": "bigint", "val_feature_id": "bigint", "val_relation_type": "int",
            "parent_id": "bigint"}
 
 
@@ -232,13 +233,13 @@ def _attribute_rows(df: DataFrame) -> DataFrame:
     shape = F.col("shape")
     whole, real = shape == "BIGINT", shape.startswith("DECIMAL") | (shape == "DOUBLE") | (shape == "FLOAT")
     flag, many, nested = shape == "BOOLEAN", shape.startswith("ARRAY"), shape.startswith("OBJECT")
-    datatype = (F.when(whole, "Integer").when(real, "Double").when(flag, "Boolean").when(many, "StringOrRef")
+    datatype = (F.when(F.col("uom").isNotNull() & (whole | real), "Measure").when(whole, "Integer").when(real, "Double").when(flag, "Boolean").when(many, "StringOrRef")
                 .when(nested, "GenericAttributeSet").otherwise("String"))
     get = lambda t: F.try_variant_get("value", "$", t)
     return _property_row(
         df, F.col("name"), datatype, 3, parent_id=F.col("parent_id"),
-        val_int=F.when(whole, get("bigint")).when(flag, get("boolean").cast("int")),
-        val_double=F.when(real, get("double")), val_string=F.when(~(whole | real | flag | many | nested), get("string")),
+        val_int=F.when(whole & F.col("uom").isNull(), get("bigint")).when(flag, get("boolean").cast("int")),
+        val_double=F.when(real | whole & F.col("uom").isNotNull(), get("double")), val_uom=F.col("uom"), val_string=F.when(~(whole | real | flag | many | nested), get("string")),
         val_array=F.when(many, F.to_json("value")))
 
 
