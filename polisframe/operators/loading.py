@@ -151,14 +151,16 @@ def lineage_from_file(template: str, path: Column) -> Column:
 
 # -- shredding
 
-def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: int = 1, geometry_start: int = 1) -> CityModel:
+def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: int = 1, geometry_start: int = 1, template_start: int = 1,
+          templates: DataFrame | None = None) -> CityModel:
     """City objects to feature, property and geometry rows with new keys, from a start per table (``next_ids`` of the
     model that the result is merged into).
 
     ``objects`` has: file, seq, objectid, parent_objectid (null at the top), objectclass_id, envelope, attributes
     (VARIANT object), geometries (array of struct lod, geometry_type, nodes, primitives), and maybe units (map of attribute
     names to units of measure). Attributes become one property row each; objects inside attributes become nested rows under their parent's id, level by level. A repeated
-    object id becomes a reference to its first occurrence.
+    object id becomes a reference to its first occurrence. ``templates`` (template_key, geometry_type, nodes, primitives) are the shapes that
+    ``placements`` of the objects (lod, template_key, matrix, reference_point) put somewhere; equal keys, from whatever file, are one template.
     """
     marked = dedupe_objects(objects.withColumn("kind", F.lit("feature")), ("kind", "objectid"), "seq").drop("kind")
     keyed = assign_ids(marked.where("not is_reference").drop("is_reference"), start_id, name="id")
@@ -181,6 +183,17 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
                                val_geometry_id=F.col("geometry_id"))
 
     plain = child.unionByName(shape_rows)
+    implicit = m.implicit_geometry
+    if templates is not None:
+        once = templates.groupBy("template_key").agg(*[F.first(c).alias(c) for c in ("geometry_type", "nodes", "primitives")])
+        once = assign_ids(assign_ids(once, template_start, [F.col("template_key")], "template_id"), _next_id(geometry, geometry_start), [F.col("template_key")], "geometry_id")
+        implicit = once.select(F.col("template_id").alias("id"), F.col("template_key").alias("objectid"), F.col("geometry_id").alias("relative_geometry_id"))
+        placed = keyed.where("placements is not null").select(F.col("id").alias("feature_id"), F.explode("placements").alias("p")).select("feature_id", "p.*").join(
+            once.select("template_key", "template_id"), "template_key")
+        plain = plain.unionByName(_property_row(
+            placed, name=F.concat(F.lit("lod"), F.coalesce("lod", F.lit("")), F.lit("ImplicitRepresentation")), datatype=F.lit("ImplicitGeometryProperty"), namespace=1, val_lod=F.col("lod"),
+            val_implicitgeom_id=F.col("template_id"), val_array=F.to_json("matrix"), val_implicitgeom_refpoint=F.col("reference_point")))
+        geometry = geometry.unionByName(once.select(F.col("geometry_id").alias("id"), F.lit(None).cast("bigint").alias("feature_id"), "geometry_type", "nodes", "primitives"))
     units = F.col("units") if "units" in keyed.columns else F.lit(None).cast("map<string,string>")
     level = keyed.where("attributes is not null").select(
         F.col("id").alias("feature_id"), F.lit(None).cast("bigint").alias("parent_id"), "attributes", units.alias("units"))
@@ -203,12 +216,13 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
     types = m.datatype.select(F.col("id").alias("datatype_id"), F.col("typename").alias("datatype"))
     properties = properties.join(types, "datatype", "left").drop("datatype")
     return m.replace(feature=_conform(feature, m.feature), property=_conform(properties, m.property),
-                     geometry_data=_conform(geometry, m.geometry_data))
+                     geometry_data=_conform(geometry, m.geometry_data), implicit_geometry=_conform(implicit, m.implicit_geometry))
 
 
 def next_ids(m: CityModel) -> dict[str, int]:
     """The first free keys of a model, as the arguments of ``shred``."""
-    return {"start_id": _next_id(m.feature, 1), "property_start": _next_id(m.property, 1), "geometry_start": _next_id(m.geometry_data, 1)}
+    return {"start_id": _next_id(m.feature, 1), "property_start": _next_id(m.property, 1), "geometry_start": _next_id(m.geometry_data, 1),
+            "template_start": _next_id(m.implicit_geometry, 1)}
 
 
 def _next_id(numbered: DataFrame, start: int) -> int:
@@ -218,7 +232,7 @@ def _next_id(numbered: DataFrame, start: int) -> int:
 
 _VALUES = {"val_int": "bigint", "val_double": "double", "val_string": "string", "val_array": "string",
            "val_uom": "string", "val_lod": "string", "val_geometry_id": "bigint", "val_feature_id": "bigint", "val_relation_type": "int",
-           "parent_id": "bigint"}
+           "parent_id": "bigint", "val_implicitgeom_id": "bigint", "val_implicitgeom_refpoint": "array<double>"}
 
 
 def _property_row(df: DataFrame, name: Column, datatype: Column, namespace: int, **values: Column) -> DataFrame:

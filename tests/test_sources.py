@@ -63,6 +63,36 @@ def test_cityjson_keeps_all_values_and_the_tree(spark, m):
     assert lines[5]["CityObjects"]["f4"]["parents"] == ["f5"] and set(lines[5]["CityObjects"]) == {"f4", "f5"}
 
 
+def test_cityjson_templates_of_several_files(spark, m, tmp_path):
+    """Equal templates of two files become one; a placement survives reading, shredding and writing."""
+    square = {"type": "MultiSurface", "lod": "2", "boundaries": [[[0, 1, 2, 3]]]}
+    line = {"type": "MultiLineString", "lod": "1", "boundaries": [[1, 0]]}
+    corners = [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0.5]]
+    matrix = [2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]
+    for i, shapes in enumerate(([square, line], [square])):
+        head = {"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.5, 0.5, 0.5], "translate": [10, 0, 0]}, "CityObjects": {}, "vertices": [],
+                "geometry-templates": {"templates": shapes, "vertices-templates": corners}}
+        instances = [{"type": "GeometryInstance", "template": t, "boundaries": [0], "transformationMatrix": matrix} for t in range(len(shapes))]
+        object_ = {"type": "OrderItem", "parents": ["none", "other"], "geometry": [*instances, {"type": "MultiPoint", "lod": "0", "boundaries": [0]}]}
+        feature = {"type": "CityJSONFeature", "id": f"t{i}", "CityObjects": {f"t{i}": object_, f"plain{i}": {"type": "OrderItem"}}, "vertices": [[2, 4 + i, 6]]}
+        (tmp_path / f"f{i}.jsonl").write_text("\n".join(map(json.dumps, (head, feature))))
+    path = str(tmp_path / "*.jsonl")
+    objects, templates = cityjson.read_cityjson(spark, path), cityjson.read_templates(spark, path)
+    rows = {r.objectid: r for r in objects.collect()}
+    assert [p.lod for p in rows["t0"].placements] == ["2", "1"] and rows["plain0"].placements is None and rows["t1"].parents == ["none", "other"]
+    assert rows["t1"].placements[0].reference_point == [11.0, 2.5, 3.0] and len(rows["t0"].geometries) == 1
+    assert templates.count() == 3 and templates.select("template_key").distinct().count() == 2
+    out = ld.shred(cityjson.with_classes(objects, m), m, templates=templates)
+    assert out.implicit_geometry.count() == 2 and out.property.where("val_implicitgeom_id is not null").count() == 3
+    assert out.geometry_data.count() == 4 and out.geometry_data.where("feature_id is null").count() == 2
+    head, lines = cityjson.cityjson_lines(out, out.feature.where("objectid like 't%'").select("id"))
+    templates = json.loads(head.first().value)["geometry-templates"]
+    assert [t["type"] for t in templates["templates"]].count("MultiSurface") == 1 and sorted(templates["vertices-templates"])[-1] == [1.0, 1.0, 0.0]
+    written = {k: v for r in lines.collect() for k, v in json.loads(r.value)["CityObjects"].items()}
+    kept = [g for g in written["t0"]["geometry"] if g["type"] == "GeometryInstance"]
+    assert len(kept) == 2 and all(g["transformationMatrix"] == matrix for g in kept) and sorted(g["template"] for g in kept) == [0, 1]
+
+
 GML = """<?xml version="1.0"?>
 <core:CityModel xmlns:core="c" xmlns:bldg="b" xmlns:gml="g" xmlns:gen="n">
 <core:cityObjectMember><bldg:Building gml:id="B1"><gml:name>one</gml:name>
