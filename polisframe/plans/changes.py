@@ -18,6 +18,8 @@ def _q(name, where, **filters):
 _q("changes_bbox", "xmin <= 900 AND xmax >= 400 AND ymin <= 900 AND ymax >= 400", bbox=(400, 400, 900, 900))
 _q("changes_bbox_contains", "xmin <= 510 AND xmax >= 511 AND ymin <= 1000.5 AND ymax >= 1000.75",
    bbox=(510, 1000.5, 511, 1000.75), bbox_mode="contains")
+_q("changes_bbox_contains_some", "xmin <= 1941.5 AND xmax >= 1942 AND ymin <= 798.5 AND ymax >= 799",
+   bbox=(1941.5, 798.5, 1942, 799), bbox_mode="contains")
 _q("changes_type", "objectclass_id = 10", feature_types=["Customer"])
 _q("changes_type_exact", "objectclass_id = 2", feature_types=["AbstractParty"])
 _q("changes_transaction", "transaction_type IN ('insert', 'delete')", transaction_types=["insert", "delete"])

@@ -259,6 +259,8 @@ query("bbox_within", "SELECT id FROM feature WHERE xmin > 100 AND xmax < 300 AND
     lambda m: m.feature.where(env.within("envelope", env.box(100, 100, 300, 300))).select("id"))
 query("bbox_contains_point", "SELECT id FROM feature WHERE xmin <= 100 AND xmax >= 100 AND ymin <= 100.5 AND ymax >= 100.5")(
     lambda m: m.feature.where(env.contains_point("envelope", F.lit(100.0), F.lit(100.5))).select("id"))
+query("bbox_contains_point_inside", "SELECT id FROM feature WHERE xmin <= 888 AND xmax >= 888 AND ymin <= 62 AND ymax >= 62")(
+    lambda m: m.feature.where(env.contains_point("envelope", F.lit(888.0), F.lit(62.0))).select("id"))
 query("envelope_center", "SELECT id, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, (zmin + zmax) / 2 AS cz "
                          "FROM feature WHERE xmin IS NOT NULL")(
     lambda m: m.feature.where("envelope is not null").select(

@@ -79,6 +79,19 @@ _SIZED = ("feature", "property", "geometry_data", "implicit_geometry", "address"
 query("table_sizes", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _SIZED) + """
     UNION ALL SELECT 'ade', 1 UNION ALL SELECT 'namespace', 3 UNION ALL SELECT 'datatype', 15 UNION ALL SELECT 'codelist_entry', count(*) FROM nation"""
       )(lambda m: st.table_sizes(m))
+
+
+def _debtors_gone(m):
+    """The model after the customers with a negative balance are terminated, so that appearances have terminated owners."""
+    gone = m.property.where("name = 'balance' and val_double < 0").select(F.col("feature_id").alias("id"), F.lit(True).alias("gone"))
+    out = m.feature.join(gone, "id", "left").withColumn("termination_date", F.when(F.col("gone"), F.lit("2024-01-01").cast("timestamp")).otherwise(F.col("termination_date")))
+    return m.replace(feature=out.select(*m.feature.columns))
+
+
+_GONE = "appearance a JOIN property p ON p.feature_id = a.feature_id AND p.name = 'balance' AND p.val_double < 0"
+query("appearance_count_by_theme_debtors", f"SELECT coalesce(theme, '<none>') AS theme, count(*) AS n FROM {_GONE} GROUP BY 1")(
+    lambda m: st.appearance_count_by_theme(_debtors_gone(m), "terminated"))
+query("themes_debtors", f"SELECT DISTINCT coalesce(theme, '<none>') AS theme FROM {_GONE}")(lambda m: st.themes(_debtors_gone(m), "terminated"))
 query("type_summary", """
     SELECT 'own:' || classname AS type_name, count(*) AS n FROM feature f JOIN objectclass c ON c.id = objectclass_id
     GROUP BY 1""")(lambda m: st.type_summary(m, m.feature))
