@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
 from polisframe.model import SCHEMAS, CityModel
@@ -165,15 +167,98 @@ FEATURE_TYPES = (
 )
 
 
+# Declared properties as (feature type, name, namespace, type, target feature type); subtypes inherit them.
+PROPERTIES = (
+    ("AbstractFeature", "description", "core", "String", None),
+    ("AbstractFeature", "name", "core", "Code", None),
+    ("AbstractCityObject", "relativeToTerrain", "core", "String", None),
+    ("AbstractCityObject", "relativeToWater", "core", "String", None),
+    ("AbstractCityObject", "generalizesTo", "core", "FeatureProperty", "AbstractCityObject"),
+    ("AbstractCityObject", "externalReference", "core", "ExternalReference", None),
+    ("AbstractSpace", "spaceType", "core", "String", None),
+    ("AbstractSpace", "volume", "core", "QualifiedVolume", None),
+    ("AbstractSpace", "area", "core", "QualifiedArea", None),
+    ("AbstractSpace", "boundary", "core", "FeatureProperty", "AbstractSpaceBoundary"),
+    ("AbstractThematicSurface", "area", "core", "QualifiedArea", None),
+    ("AbstractConstruction", "conditionOfConstruction", "con", "String", None),
+    ("AbstractConstruction", "dateOfConstruction", "con", "Timestamp", None),
+    ("AbstractConstruction", "dateOfDemolition", "con", "Timestamp", None),
+    ("AbstractConstruction", "constructionEvent", "con", "ConstructionEvent", None),
+    ("AbstractConstruction", "elevation", "con", "Elevation", None),
+    ("AbstractConstruction", "height", "con", "Height", None),
+    ("AbstractConstructionSurface", "fillingSurface", "con", "FeatureProperty", "AbstractFillingSurface"),
+    ("AbstractBuilding", "class", "bldg", "Code", None),
+    ("AbstractBuilding", "function", "bldg", "Code", None),
+    ("AbstractBuilding", "usage", "bldg", "Code", None),
+    ("AbstractBuilding", "roofType", "bldg", "Code", None),
+    ("AbstractBuilding", "storeysAboveGround", "bldg", "Integer", None),
+    ("AbstractBuilding", "storeysBelowGround", "bldg", "Integer", None),
+    ("AbstractBuilding", "buildingConstructiveElement", "bldg", "FeatureProperty", "BuildingConstructiveElement"),
+    ("AbstractBuilding", "buildingInstallation", "bldg", "FeatureProperty", "BuildingInstallation"),
+    ("AbstractBuilding", "buildingRoom", "bldg", "FeatureProperty", "BuildingRoom"),
+    ("AbstractBuilding", "buildingSubdivision", "bldg", "FeatureProperty", "AbstractBuildingSubdivision"),
+    ("AbstractBuilding", "address", "bldg", "AddressProperty", None),
+    ("Building", "buildingPart", "bldg", "FeatureProperty", "BuildingPart"),
+    ("BuildingRoom", "roomHeight", "bldg", "RoomHeight", None),
+    ("Storey", "sortKey", "bldg", "Double", None),
+    ("AbstractBridge", "isMovable", "brid", "Boolean", None),
+    ("Bridge", "bridgePart", "brid", "FeatureProperty", "BridgePart"),
+    ("Tunnel", "tunnelPart", "tun", "FeatureProperty", "TunnelPart"),
+    ("AbstractTransportationSpace", "trafficSpace", "tran", "FeatureProperty", "TrafficSpace"),
+    ("AbstractTransportationSpace", "auxiliaryTrafficSpace", "tran", "FeatureProperty", "AuxiliaryTrafficSpace"),
+    ("TrafficArea", "surfaceMaterial", "tran", "Code", None),
+    ("Road", "section", "tran", "FeatureProperty", "Section"),
+    ("Road", "intersection", "tran", "FeatureProperty", "Intersection"),
+    ("SolitaryVegetationObject", "species", "veg", "Code", None),
+    ("SolitaryVegetationObject", "height", "veg", "Measure", None),
+    ("SolitaryVegetationObject", "trunkDiameter", "veg", "Measure", None),
+    ("SolitaryVegetationObject", "crownDiameter", "veg", "Measure", None),
+    ("PlantCover", "averageHeight", "veg", "Measure", None),
+    ("ReliefFeature", "lod", "dem", "Integer", None),
+    ("ReliefFeature", "reliefComponent", "dem", "FeatureProperty", "AbstractReliefComponent"),
+    ("CityObjectGroup", "groupMember", "grp", "FeatureProperty", "AbstractCityObject"),
+)
+
+# Declared properties of data types as (data type, name, namespace, type).
+TYPE_PROPERTIES = (
+    ("Height", "highReference", "con", "Code"),
+    ("Height", "lowReference", "con", "Code"),
+    ("Height", "status", "con", "String"),
+    ("Height", "value", "con", "Measure"),
+    ("RoomHeight", "highReference", "bldg", "Code"),
+    ("RoomHeight", "lowReference", "bldg", "Code"),
+    ("RoomHeight", "status", "bldg", "String"),
+    ("RoomHeight", "value", "bldg", "Measure"),
+    ("Elevation", "elevationReference", "con", "Code"),
+    ("ConstructionEvent", "event", "con", "Code"),
+    ("ConstructionEvent", "dateOfEvent", "con", "Timestamp"),
+    ("ConstructionEvent", "description", "con", "String"),
+    ("QualifiedArea", "area", "core", "Measure"),
+    ("QualifiedArea", "typeOfArea", "core", "Code"),
+    ("QualifiedVolume", "volume", "core", "Measure"),
+    ("QualifiedVolume", "typeOfVolume", "core", "Code"),
+    ("ExternalReference", "targetResource", "core", "URI"),
+    ("ExternalReference", "informationSystem", "core", "URI"),
+    ("ExternalReference", "relationType", "core", "URI"),
+)
+
+
+def _schema(rows: list[tuple]) -> str | None:
+    """The schema document of a type that declares these (name, namespace, type, target)."""
+    keys = ("name", "namespace", "type", "target")
+    return json.dumps({"properties": [dict(zip(keys, r, strict=False)) for r in rows]}) if rows else None
+
+
 def standard_catalogue(spark: SparkSession) -> CityModel:
     """A model without features that knows the standard types; load city objects into it with ``shred``."""
     ids = {alias: i for i, alias in NAMESPACES.items()}
     number = {name: i for i, (_, name, _, _) in enumerate(FEATURE_TYPES, 1)}
     return CityModel(spark, {
         "namespace": local_frame(spark, [(i, a, None, None) for i, a in NAMESPACES.items()], SCHEMAS["namespace"]),
-        "datatype": local_frame(spark, [(i, None, n, 0, ids[a], None) for i, (a, n) in enumerate(DATA_TYPES, 1)],
+        "datatype": local_frame(spark, [
+            (i, None, n, 0, ids[a], _schema([p[1:] for p in TYPE_PROPERTIES if p[0] == n])) for i, (a, n) in enumerate(DATA_TYPES, 1)],
                                 SCHEMAS["datatype"]),
         "objectclass": local_frame(spark, [
             (number[n], number.get(p), n, int(n.startswith("Abstract")), int(top), ids[a],
-             "address" if n == "Address" else "feature", None) for a, n, p, top in FEATURE_TYPES], SCHEMAS["objectclass"]),
+             "address" if n == "Address" else "feature", _schema([q[1:] for q in PROPERTIES if q[0] == n])) for a, n, p, top in FEATURE_TYPES], SCHEMAS["objectclass"]),
     })

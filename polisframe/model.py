@@ -267,6 +267,18 @@ class TypeRegistry:
             row = self.datatypes.get(row["supertype_id"])
         return None
 
+    def declared(self) -> list[tuple[str, str, int, str]]:
+        """(owner, lower-case name, namespace, type) of all declared properties, inherited ones too; an owner is ``class:id`` or ``type:name``."""
+        out = []
+        for c in self.classes.values():
+            found = {}
+            for a in self.ancestors(c["id"]):
+                found = self._declared(a) | found
+            out += [(f"class:{c['id']}", name, p.namespace_id, p.type) for name, p in found.items()]
+        for t in self.datatypes.values():
+            out += [(f"type:{t['typename']}", name, p.namespace_id, p.type) for name, p in self._declared(t).items()]
+        return out
+
     def datatype_id(self, typename: str) -> int:
         if typename not in self._by_typename:
             raise ModelError(f"unknown data type {typename!r}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from polisframe.functions import envelope as env
 from polisframe.model import CONTAINS, CityModel, ModelError
 from polisframe.operators import removal
-from polisframe.runtime import checkpointed, number_rows, number_rows_any_order, page_rows
+from polisframe.runtime import checkpointed, local_frame, number_rows, number_rows_any_order, page_rows
 
 KINDS = ("feature", "implicit_geometry", "address", "surface_data", "tex_image")
 
@@ -158,7 +158,8 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
 
     ``objects`` has: file, seq, objectid, parent_objectid (null at the top), objectclass_id, envelope, attributes
     (VARIANT object), geometries (array of struct lod, geometry_type, nodes, primitives), and maybe units (map of attribute
-    names to units of measure). Attributes become one property row each; objects inside attributes become nested rows under their parent's id, level by level. A repeated
+    names to units of measure) and parent_property (the name that the parent holds it under). Attributes become one property row each, of the type and namespace
+    that the class or a supertype declares, else generic by their look; objects inside attributes become nested rows under their parent's id, level by level. A repeated
     object id becomes a reference to its first occurrence. ``templates`` (template_key, geometry_type, nodes, primitives) are the shapes that
     ``placements`` of the objects (lod, template_key, matrix, reference_point) put somewhere; equal keys, from whatever file, are one template.
     """
@@ -166,12 +167,15 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
     keyed = assign_ids(marked.where("not is_reference").drop("is_reference"), start_id, name="id")
     feature = keyed.select("id", "objectclass_id", "objectid", "envelope")
 
-    edges = marked.where("parent_objectid is not null").select("parent_objectid", "objectid", "is_reference")
+    held_by = F.col("parent_property") if "parent_property" in marked.columns else F.lit(None).cast("string")
+    edges = marked.where("parent_objectid is not null").select("parent_objectid", "objectid", "is_reference", held_by.alias("held_by"))
     ids = keyed.select("id", "objectid")
-    edges = edges.join(ids.select(F.col("id").alias("feature_id"), F.col("objectid").alias("parent_objectid")),
-                       "parent_objectid").join(ids.withColumnRenamed("id", "val_feature_id"), "objectid")
+    declared = local_frame(m.spark, m.types.declared(), "owner string, _name string, declared_namespace int, declared string")
+    parents = keyed.select(F.col("id").alias("feature_id"), F.col("objectid").alias("parent_objectid"), F.concat(F.lit("class:"), "objectclass_id").alias("owner"))
+    edges = edges.join(parents, "parent_objectid").withColumn("_name", F.lower("held_by")).join(declared, ["owner", "_name"], "left")
+    edges = edges.join(ids.withColumnRenamed("id", "val_feature_id"), "objectid")
     relation = F.when(F.col("is_reference"), 0).otherwise(CONTAINS)
-    child = _property_row(edges, name=F.lit("child"), datatype=F.lit("FeatureProperty"), namespace=1,
+    child = _property_row(edges, name=F.coalesce("held_by", F.lit("child")), datatype=F.lit("FeatureProperty"), namespace=F.coalesce("declared_namespace", F.lit(1)),
                           val_feature_id=F.col("val_feature_id"), val_relation_type=relation)
 
     shapes = keyed.select(F.col("id").alias("feature_id"), F.explode("geometries").alias("g")).select(
@@ -196,23 +200,29 @@ def shred(objects: DataFrame, m: CityModel, start_id: int = 1, property_start: i
         geometry = geometry.unionByName(once.select(F.col("geometry_id").alias("id"), F.lit(None).cast("bigint").alias("feature_id"), "geometry_type", "nodes", "primitives"))
     units = F.col("units") if "units" in keyed.columns else F.lit(None).cast("map<string,string>")
     level = keyed.where("attributes is not null").select(
-        F.col("id").alias("feature_id"), F.lit(None).cast("bigint").alias("parent_id"), "attributes", units.alias("units"))
+        F.col("id").alias("feature_id"), F.lit(None).cast("bigint").alias("parent_id"), "attributes", units.alias("units"), F.concat(F.lit("class:"), "objectclass_id").alias("owner"))
     properties = assign_ids(plain, property_start)
     next_id = _next_id(properties, property_start)
     while True:
         spark = level.sparkSession
         entries = level.lateralJoin(spark.tvf.variant_explode(F.col("attributes").outer())).select(
-            "feature_id", "parent_id", F.col("key").alias("name"), "value", F.col("units")[F.col("key")].alias("uom"))
-        entries = entries.where("not is_variant_null(value)")
-        kind = F.schema_of_variant("value")
-        entries = entries.withColumn("shape", kind)
+            "feature_id", "parent_id", "owner", F.col("key").alias("name"), "value", F.col("units")[F.col("key")].alias("uom"))
+        entries = entries.withColumn("_name", F.lower("name")).join(declared, ["owner", "_name"], "left").drop("owner", "_name")
+        entries = entries.where("not is_variant_null(value)").withColumn("shape", F.schema_of_variant("value"))
+        # a declared property with several values has a row for each
+        several = F.col("declared").isNotNull() & F.col("shape").startswith("ARRAY")
+        each = entries.where(several).withColumnRenamed("value", "list").lateralJoin(spark.tvf.variant_explode(F.col("list").outer())).drop("list", "pos", "key", "shape")
+        each = each.where("not is_variant_null(value)").withColumn("shape", F.schema_of_variant("value"))
+        entries = entries.where(~several).unionByName(each)
         numbered = assign_ids(entries, next_id)
         if numbered.isEmpty():
             break
         properties = properties.unionByName(_attribute_rows(numbered))
         next_id = _next_id(numbered, next_id)
         level = numbered.where("shape like 'OBJECT%'").select(
-            "feature_id", F.col("id").alias("parent_id"), F.col("value").alias("attributes"), F.lit(None).cast("map<string,string>").alias("units"))
+            "feature_id", F.col("id").alias("parent_id"), F.col("value").alias("attributes"),
+            F.when(F.col("uom").isNotNull(), F.create_map(F.lit("value"), "uom", F.lit("area"), "uom", F.lit("volume"), "uom")).alias("units"),
+            F.concat(F.lit("type:"), F.coalesce("declared", F.lit(""))).alias("owner"))
     types = m.datatype.select(F.col("id").alias("datatype_id"), F.col("typename").alias("datatype"))
     properties = properties.join(types, "datatype", "left").drop("datatype")
     return m.replace(feature=_conform(feature, m.feature), property=_conform(properties, m.property),
@@ -230,31 +240,36 @@ def _next_id(numbered: DataFrame, start: int) -> int:
     return start if top is None else top + 1
 
 
-_VALUES = {"val_int": "bigint", "val_double": "double", "val_string": "string", "val_array": "string",
+_VALUES = {"val_timestamp": "timestamp", "val_uri": "string", "val_int": "bigint", "val_double": "double", "val_string": "string", "val_array": "string",
            "val_uom": "string", "val_lod": "string", "val_geometry_id": "bigint", "val_feature_id": "bigint", "val_relation_type": "int",
            "parent_id": "bigint", "val_implicitgeom_id": "bigint", "val_implicitgeom_refpoint": "array<double>"}
 
 
-def _property_row(df: DataFrame, name: Column, datatype: Column, namespace: int, **values: Column) -> DataFrame:
+def _property_row(df: DataFrame, name: Column, datatype: Column, namespace: int | Column, **values: Column) -> DataFrame:
     columns = [(values[n] if n in values else F.lit(None)).cast(t).alias(n) for n, t in _VALUES.items()]
     keep = ["id"] if "id" in df.columns else []
     return df.select(*keep, "feature_id", name.alias("name"), datatype.alias("datatype"),
-                     F.lit(namespace).alias("namespace_id"), *columns)
+                     (namespace if isinstance(namespace, Column) else F.lit(namespace)).cast("int").alias("namespace_id"), *columns)
 
 
 def _attribute_rows(df: DataFrame) -> DataFrame:
-    """Attribute entries with their value in the column of its type."""
-    shape = F.col("shape")
+    """Attribute entries with their value in the column of its type: the declared one, else the one it looks like."""
+    shape, known = F.col("shape"), F.col("declared")
+    get = lambda t: F.try_variant_get("value", "$", t)
+    text = get("string")
     whole, real = shape == "BIGINT", shape.startswith("DECIMAL") | (shape == "DOUBLE") | (shape == "FLOAT")
     flag, many, nested = shape == "BOOLEAN", shape.startswith("ARRAY"), shape.startswith("OBJECT")
-    datatype = (F.when(F.col("uom").isNotNull() & (whole | real), "Measure").when(whole, "Integer").when(real, "Double").when(flag, "Boolean").when(many, "StringOrRef")
-                .when(nested, "GenericAttributeSet").otherwise("String"))
-    get = lambda t: F.try_variant_get("value", "$", t)
+    guess = (F.when(F.col("uom").isNotNull() & (whole | real), "Measure").when(whole, "Integer").when(real, "Double")
+             .when(flag, "Boolean").when(many, "StringOrRef").when(nested, "GenericAttributeSet").otherwise("String"))
+    plain = known.isin("Integer", "Boolean", "Double", "Measure", "String", "Code", "URI", "Reference", "Timestamp") & ~nested & ~many
+    kind = F.when(plain, known).when(known.isNotNull() & nested, known).otherwise(guess)
+    truth = F.coalesce(get("boolean").cast("int"), text.try_cast("boolean").cast("int"))
     return _property_row(
-        df, F.col("name"), datatype, 3, parent_id=F.col("parent_id"),
-        val_int=F.when(whole & F.col("uom").isNull(), get("bigint")).when(flag, get("boolean").cast("int")),
-        val_double=F.when(real | whole & F.col("uom").isNotNull(), get("double")), val_uom=F.col("uom"), val_string=F.when(~(whole | real | flag | many | nested), get("string")),
-        val_array=F.when(many, F.to_json("value")))
+        df, F.col("name"), kind, F.coalesce("declared_namespace", F.lit(3)), parent_id=F.col("parent_id"),
+        val_int=F.when(kind == "Integer", F.coalesce(get("bigint"), text.try_cast("bigint"))).when(kind == "Boolean", truth),
+        val_double=F.when(kind.isin("Double", "Measure"), F.coalesce(get("double"), text.try_cast("double"))), val_uom=F.col("uom"),
+        val_string=F.when(kind.isin("String", "Code") & ~many & ~nested, text), val_uri=F.when(kind.isin("URI", "Reference"), text),
+        val_timestamp=F.when(kind == "Timestamp", text.try_cast("timestamp")), val_array=F.when(many, F.to_json("value")))
 
 
 def _conform(df: DataFrame, like: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polisframe.catalog import DATA_TYPES
 from polisframe.functions import envelope as env
 from polisframe.model import CityModel
 from polisframe.operators.hierarchy import folded, unfolded
@@ -84,7 +85,12 @@ def read_elements(spark: SparkSession, path: str, member: str) -> DataFrame:
     text = spark.read.text(path, lineSep=f"</{member}>")
     inner = F.nullif(F.regexp_extract("value", rf"(?s)<{member}(?:\s[^>]*)?>(.*)$", 1), F.lit(""))
     members = text.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nr"), inner.alias("value")).where("value is not null")
-    rows = checkpointed(members.mapInArrow(_elements, f"file string, nr bigint, {_ELEMENT}"))
+    rows = members.mapInArrow(_elements, f"file string, nr bigint, {_ELEMENT}")
+    # an element that only names the type of its property's value stands for nothing
+    is_type = lambda name: _local(name).isin([t for _, t in DATA_TYPES if t != "GenericAttributeSet"]) & ~name.startswith("gml:")
+    typed = F.exists("names", is_type)
+    kept = lambda column: F.when(typed, F.filter(column, lambda _, i: ~is_type(F.get("names", i)))).otherwise(F.col(column))
+    rows = checkpointed(rows.where(~is_type(F.element_at("names", -1))).withColumns({"path": kept("path"), "ids": kept("ids"), "names": kept("names")}))
     here = F.size("names") - 1
     objects = F.filter(F.transform("names", lambda x, i: F.when(_is_object(x), i)), lambda i: i.isNotNull())
     owner = F.array_max(F.filter(objects, lambda i: i < here))
@@ -110,7 +116,8 @@ def read_citygml(spark: SparkSession, path: str, member: str = "core:cityObjectM
     rows = read_elements(spark, path, member)
     objects = rows.where("is_object").select(
         "file", "nr", _id_at(F.col("here")).alias("objectid"), F.when(F.col("owner").isNotNull(), _id_at(F.col("owner"))).alias("parent_objectid"),
-        _id_at(F.lit(0)).alias("root_objectid"), _local(F.get("names", F.col("here"))).alias("classname"))
+        _id_at(F.lit(0)).alias("root_objectid"), _local(F.get("names", F.col("here"))).alias("classname"),
+        F.when(F.col("owner").isNotNull(), _local(F.get("names", F.col("here") - 1))).alias("parent_property"))
     owned = rows.where("not is_object and owner is not null").withColumn("objectid", _id_at(F.col("owner")))
     shapes = _geometries(owned.where("not placed"), lod4_as_lod3)
     template = F.col("placed") & (_local(F.get("names", F.col("here"))) == "ImplicitGeometry")

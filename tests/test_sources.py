@@ -11,7 +11,7 @@ from polisframe.model import ModelError
 from polisframe.operators import changelog as cl
 from polisframe.operators import loading as ld
 from polisframe.operators import tiling as tl
-from polisframe.operators.query import FeatureQuery
+from polisframe.operators.query import FeatureQuery, Step
 from polisframe.sources import citygml, cityjson, tables
 from polisframe.streaming import changelog as stream
 
@@ -221,6 +221,35 @@ def test_standard_catalogue(spark, tmp_path):
     assert [r.objectid for r in hit.collect()] == ["B1"]
 
 
+def test_declared_properties_of_a_read_file(spark, tmp_path):
+    """Values are kept by the declared type, types are inherited, parts are steps, and a number is compared as one."""
+    from polisframe.catalog import standard_catalogue
+    from polisframe.functions import scalar as s
+    body = """<core:cityObjectMember><bldg:Building gml:id="B{i}"><con:dateOfConstruction>2001-05-06</con:dateOfConstruction>
+      <con:height><con:Height><con:highReference>top</con:highReference><con:value uom="m">{h}</con:value></con:Height></con:height>
+      <bldg:function>1000</bldg:function><bldg:function>007</bldg:function><bldg:storeysAboveGround>{i}</bldg:storeysAboveGround><bldg:own>{i}</bldg:own>
+      <bldg:buildingPart><bldg:BuildingPart gml:id="P{i}"><bldg:storeysAboveGround>{h}</bldg:storeysAboveGround></bldg:BuildingPart></bldg:buildingPart>
+      </bldg:Building></core:cityObjectMember>"""
+    (tmp_path / "d.gml").write_text('<core:CityModel xmlns:core="c">' + "".join(body.format(i=i, h=h) for i, h in ((1, 9), (2, 20), (3, 100))) + "</core:CityModel>")
+    known = standard_catalogue(spark)
+    out = ld.shred(cityjson.with_classes(citygml.read_citygml(spark, str(tmp_path / "d.gml")), known), known)
+
+    def hits(*path, op, value):
+        q = FeatureQuery(out, ["AbstractBuilding"])
+        return sorted(r.objectid for r in q.where(s.compare(q.path(*path), op, value)).result("objectid").collect())
+
+    assert hits("height", "value", op=">", value=10) == ["B2", "B3"]  # as text 100 would be less than 20, and 9 more
+    assert hits("storeysAboveGround", op="<", value=3) == ["B1", "B2"]
+    assert hits("function", op="=", value="007") == ["B1", "B2", "B3"] and hits("function", op="=", value="1000") == ["B1", "B2", "B3"]
+    q = FeatureQuery(out, ["Building"])
+    assert [r.objectid for r in q.where(s.compare(q.path("buildingPart", "storeysAboveGround"), "=", 100)).result("objectid").collect()] == ["B3"]
+    rows = {r.name: r for r in out.property.join(out.feature.where("objectid = 'B1'").select(F.col("id").alias("feature_id")), "feature_id").collect()}
+    assert rows["dateOfConstruction"].val_timestamp.year == 2001 and rows["value"].val_uom == "m" and rows["value"].val_double == 9.0
+    assert known.types.aliases[rows["storeysAboveGround"].namespace_id] == "bldg" and rows["own"].namespace_id == 3 and rows["own"].val_int == 1
+    with pytest.raises(ModelError):
+        q.path(Step("storeysAboveGround", cast="int"))
+
+
 def test_model_directory_and_tiles(spark, m, tmp_path):
     tables.write_model(m, str(tmp_path / "v1"), ["feature", "property"])
     back = tables.read_model(spark, str(tmp_path / "v1"), ["feature", "property"])
