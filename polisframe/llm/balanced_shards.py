@@ -3,15 +3,15 @@
 Links are memberships (row, link): rows that name one link are neighbours. So a group of copies is one link, an edge is a link of two,
 and no pairs are ever made. Rows start in shards by a hash. In a round every link tallies its members by shard, every row adds
 up the tallies of its links and wants the open shard that holds most of its neighbours; links take turns to send rows to lower and to
-higher shards, so that neighbours don't swap places. What a shard may take is its quota less the linked bytes it holds, as
-unlinked rows can always give way; if more want to come, the greatest gains come first, link by link, up to a threshold, and the shard
-is closed. Rounds end when no row wants to move.
+higher shards, so that neighbours don't swap places. Two shards exchange as many bytes as either offers; beyond that a shard may take its quota less
+the linked bytes it holds, as unlinked rows can always give way. If more want to come, the greatest gains come first, link by link, up to a
+threshold, and a shard that has no room and nothing to exchange is closed. Rounds end when no row wants to move.
 
 Then the shards are levelled: those above their share hand rows to those below, unlinked rows first, then rows with few neighbours
 beside them, in the order of a hash. Thresholds are found digit by digit in histograms of at most 4,096 sums a shard and digit, without sorting
 and without collecting rows. Later passes hand on ever smaller rows until sizes differ from the share by no more than ``TOLERANCE`` of it.
 
-Broadcasts and what the driver sees depend on the number of shards and partitions only.
+What the driver sees depends on the number of shards only: sums for each pair of them, and 4,096 for each pair that wants more than it may.
 """
 
 from __future__ import annotations
@@ -101,32 +101,54 @@ def propagated(rows: DataFrame, links: DataFrame, quota: int, shards: int, round
         if idle == 2 or not open_to or members.isEmpty():
             break
         wishes = stored(_wishes(members, shards, open_to, turn))
-        asked = _by_shard(wishes, "to", shards)
+        asked = {(r["shard"], r["to"]): r["size"] for r in wishes.groupBy("shard", "to").agg(F.sum("size").alias("size")).collect()}  # one sum a pair of shards
         room = [max(0, quota - held) for held in _by_shard(members.dropDuplicates(["row"]), "shard", shards)]
-        tight = [s for s in open_to if asked[s] > room[s]]
-        idle = 0 if any(asked) else idle + 1
-        if not any(asked):
+        idle = 0 if asked else idle + 1
+        if not asked:
             continue
+        # pairs of shards exchange as much as either side offers; what one side wants beyond that needs room
+        limits = {(a, b): min(size, asked.get((b, a), 0)) for (a, b), size in asked.items()}
+        swapped = {b: sum(x for (_, to), x in limits.items() if to == b) for _, b in asked}
+        for (a, b), size in sorted(asked.items(), key=lambda x: -x[1]):
+            more = min(size - limits[a, b], room[b])
+            limits[a, b] += more
+            room[b] -= more
+        tight = [pair for pair, size in asked.items() if size > limits[pair]]
         key = F.shiftleft(15 - F.least(F.lit(15), F.log2("gain").cast("bigint")), 56) + F.shiftleft(F.col("anchor"), 28) + _hash("row", bits=28)
-        ranked = wishes.withColumns({"bucket": F.col("to"), "key": key})
-        ends = thresholds(ranked, {s: [room[s]] for s in tight}, 0)
+        ranked = wishes.withColumns({"bucket": F.col("shard") * shards + F.col("to"), "key": key})
+        ends = thresholds(ranked, {a * shards + b: [limits[a, b]] for a, b in tight}, 0)
         admitted = F.lit(True)
-        for s in tight:
-            admitted &= (F.col("to") != s) | (F.col("key") < ends[s][0])
-        closed |= set(tight)
+        for a, b in tight:
+            admitted &= (F.col("bucket") != a * shards + b) | (F.col("key") < ends[a * shards + b][0])
+        closed |= {b for _, b in tight if not swapped[b]}
         moves = ranked.where(admitted).select("row", "to")
         members = stored(members.join(moves, "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"))
     return members
 
 
+def shares(total: int, shards: int, largest: list[int]) -> list[int]:
+    """What each shard should hold: the same, but for shards with one row that is larger; those keep it alone, the others share the rest."""
+    alone: dict[int, int] = {}
+    while True:
+        rest = [s for s in range(shards) if s not in alone]
+        left = total - sum(alone.values())
+        over = {s: largest[s] for s in rest if largest[s] * len(rest) > left} if len(rest) > 1 else {}
+        if not over or len(over) == len(rest):
+            even = {s: left * (i + 1) // len(rest) - left * i // len(rest) for i, s in enumerate(rest)}
+            return [(alone | even)[s] for s in range(shards)]
+        alone |= over
+
+
 def levelled(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, passes: int = PASSES) -> DataFrame:
     """``rows`` (row, size, shard, loss, …) with shards of nearly equal size; rows of the smallest ``loss`` (0 to 15) move first, others than those of
     loss 0 only if that leaves shards further than ``ROUGH`` from their share."""
     most, movable = None, F.col("loss") == 0
     for _ in range(passes):
-        held = _by_shard(rows, "shard", shards)
+        held, largest = [0] * shards, [0] * shards
+        for s, size, most_of in rows.groupBy("shard").agg(F.sum("size"), F.max("size")).collect():  # a row a shard
+            held[s], largest[s] = size, most_of
         total = sum(held)
-        share = [total * (s + 1) // shards - total * s // shards for s in range(shards)]
+        share = shares(total, shards, largest)
         off = [h - want for h, want in zip(held, share, strict=True)]
         worst = max(map(abs, off))
         if worst <= tolerance * total / shards:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polisframe.llm.balanced_shards import balanced_shards, levelled, propagated, shard_texts, thresholds
+from polisframe.llm.balanced_shards import balanced_shards, levelled, propagated, shard_texts, shares, thresholds
 from polisframe.llm.double_array import build
 from polisframe.llm.lexical_search import Queries, search
 from polisframe.llm.phrases import phrases
@@ -108,7 +108,7 @@ def plain_phrases(rows, least, longest, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"buckets": 64, "shard": 5, "at_once": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"buckets": 2048, "shard": 1500, "at_once": 40}])
 def test_phrases(spark, corpus, rows_of, none, sizes):
     frame = corpus.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 2 == 0, "en").otherwise("xx")).withColumn("phrase", F.lit(0)).withColumn("a", F.lit(""))
     texts = [(r["lang"], r["text"]) for r in frame.collect()]
@@ -173,7 +173,16 @@ def test_shards_with_a_hot_group(spark, corpus, rows_of):
     held = check_shards(shard_texts(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)), rows, 8, 0.01)
     most = max(held.values(), key=len)
     assert len(most) <= 6 and sum(len(s) > 1 for s in held.values()) <= 3
-    check_shards(shard_texts(corpus, 3), rows_of, 3, 0.3)  # one text is most of the bytes
+
+
+def test_shards_with_one_large_text(spark, corpus, rows_of):
+    """A text larger than a share has a shard of its own; the others are even."""
+    assert shares(100, 4, [50, 5, 5, 5]) == [50, 16, 17, 17] and shares(10, 3, [9, 9, 9]) == [3, 3, 4] and shares(0, 2, [0, 0]) == [0, 0]
+    found = shard_texts(corpus, 3)
+    check_shards(found, rows_of, 3, 9.0)
+    sums = sorted(r[1] for r in found.groupBy("shard").agg(F.sum("size")).collect())
+    largest = max(len(t.encode()) + 1 for _, t in rows_of)
+    assert sums[2] == largest > sum(sums) / 3 and sums[1] - sums[0] < 0.1 * sums[1]
 
 
 def test_propagation_on_a_graph(spark):
