@@ -216,7 +216,7 @@ def repair_chats(turns: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "role", "text"]
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # both passes must meet the same partitions
-    laid = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    laid = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), layout=True)
     edges = laid.select("key", "kind").mapInArrow(_edges, "part int, order int, only boolean, key string, matrix array<bigint>").collect()  # two a partition
     states = _plan(edges)
     return laid.mapInArrow(lambda b: _repaired(b, states), "conv_id bigint, turn bigint, role string, new_role string, action string, "

@@ -24,7 +24,7 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def deletion_set(m: CityModel, ids: DataFrame) -> DataFrame:
     """The features that go with ``ids``: contained sub-trees, without what a surviving feature contains as well."""
-    edges = checkpointed(contains_edges(m).select("parent", "child").distinct())
+    edges = checkpointed(contains_edges(m).select("parent", "child"))
     roots = ids.select("id").distinct()
     inside = reach(edges, roots)
     as_parent, as_child = inside.withColumnRenamed("id", "parent"), inside.withColumnRenamed("id", "child")
