@@ -2,13 +2,13 @@
 
 A text is the set of the XXH64 hashes of its word shingles; texts of one set fall together first. Two sets share one of
 their ``MINIMA`` least shingles but for about (1 - likeness)^MINIMA, so each set goes to the shards of its least
-shingles. Inside a shard, cut into blocks of bounded size, pairs of fitting sizes and SimHashes are candidates; a pair that
-shares several shards is left to the least of them. Only sets that have a candidate are sent on, with their text, and
+shingles. A shard is cut into blocks of bounded size; a block's SimHashes are a BK-tree, in which the sets look for those within ``RADIUS`` bits.
+Those of a fitting size are candidates; a pair that shares several shards is left to the least of them. Only sets that have a candidate are sent on, with their text, and
 candidates are linked by the sets themselves. Pairs that earlier links of the task connect are not looked at, so a group
 of near copies costs about one comparison per text, and tasks put out spanning forests, never the pairs of a group.
 
 SimHashes only screen: at a likeness of 0.8 they differ in 9.7 of 64 bits on average, in more than 12 for one pair in six.
-``RADIUS`` leaves out fewer than one pair in a million; sets of fewer than ``SCREENED`` shingles are not screened by it, as theirs scatter more.
+``RADIUS`` leaves out fewer than one pair in a million; sets of fewer than ``SCREENED`` shingles search the whole tree, as theirs scatter more.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polisframe.llm._shared import starts_of, stored, text_column, text_slices, whole_groups
-from polisframe.llm.simhash_tree import SEED, shingle_hashes, simhash
+from polisframe.llm.simhash_tree import SEED, BKTree, shingle_hashes, simhash
 from polisframe.operators.components import components
 
 SHINGLE, JACCARD = 5, 0.8
 MINIMA, RADIUS, SCREENED = 10, 25, 64
 #: Most sets of a block, and about the most shingles of a block of several.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Sets that descend a tree together.
+SEARCHED = 128
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -86,10 +88,28 @@ def _pairs(batch: pa.RecordBatch, a: int, b: int, jaccard: float) -> Iterator[tu
     second = part.column("second").to_numpy(zero_copy_only=False)
     split = int(np.argmax(second)) if second.any() else b - a
     whole = split == b - a
-    for i in range(split):
-        found = _candidates(i, np.arange(i + 1 if whole else split, b - a), np.uint64(key), size, bits, minima, jaccard)
-        if len(found):
-            yield i, found
+    start = 0 if whole else split
+    # sets of one SimHash are one node
+    points, at = np.unique(bits[start:], return_inverse=True)
+    members, held = np.argsort(at, kind="stable") + start, np.bincount(at, minlength=len(points))
+    first, tree = np.cumsum(held) - held, BKTree(points)
+    # a set none of whose fitting partners is too small to be screened keeps to the radius
+    radius = np.where(jaccard * size >= SCREENED, RADIUS, 64)
+    for low in range(0, split, SEARCHED):
+        high = min(low + SEARCHED, split)
+        query, node = (np.concatenate(x) for x in zip(*tree.near(bits[low:high], radius[low:high]), strict=True))
+        query, many, begin = query + low, held[node], first[node]
+        other = members[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        query = np.repeat(query, many)
+        if whole:
+            query, other = query[other > query], other[other > query]
+        order = np.lexsort((other, query))
+        query, other = query[order], other[order]
+        bounds = np.append(starts_of(query), len(query))
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            found = _candidates(int(query[x]), other[x:y], np.uint64(key), size, bits, minima, jaccard)
+            if len(found):
+                yield int(query[x]), found
 
 
 def _screened(batches: Iterator[pa.RecordBatch], jaccard: float) -> Iterator[pa.RecordBatch]:

@@ -93,6 +93,23 @@ class BKTree:
             node = child[child >= 0].astype(np.int64)
             query = query[row]
 
+    def near(self, queries: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``within``, for a radius of each query and for wide ones: visited nodes are followed by lists of their children."""
+        parent, length = np.nonzero(self.edges >= 0)
+        child = self.edges[parent, length].astype(np.int64)
+        count = np.bincount(parent, minlength=len(self.points))
+        first = np.cumsum(count) - count
+        query, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        while len(query):
+            gap = np.bitwise_count(queries[query] ^ self.points[node]).astype(np.int64)
+            hit = gap <= radius[query]
+            yield query[hit], node[hit]
+            size = count[node]
+            edge = np.repeat(first[node] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            query = np.repeat(query, size)
+            on = np.abs(length[edge] - np.repeat(gap, size)) <= radius[query]
+            query, node = query[on], child[edge[on]]
+
 
 class Forest:
     """Union by array; remembers the links that joined two parts."""

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -172,6 +173,43 @@ def test_near_texts(spark, block):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == list(enumerate(label))
 
 
+def test_tree_with_a_radius_of_each_query():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    points = np.unique(np.concatenate([base ^ rng.integers(0, 2**20, 3, dtype=np.uint64) for _ in range(30)]))
+    radius = rng.choice([0, 3, 25, 64], len(points))
+    found = [(int(a), int(b)) for q, n in BKTree(points).near(points, radius) for a, b in zip(q, n, strict=True)]
+    assert sorted(found) == [(i, j) for i in range(len(points)) for j in range(len(points)) if (int(points[i]) ^ int(points[j])).bit_count() <= radius[i]]
+
+
+@pytest.mark.parametrize("split", [200, 80])
+def test_blocks_are_searched_in_trees(monkeypatch, split):
+    """The candidates of a block are all pairs that fit, found in a BK-tree of its SimHashes."""
+    from polisframe.llm import near_texts as nt
+
+    built = []
+
+    class Seen(BKTree):
+        def __init__(self, points):
+            built.append(len(points))
+            super().__init__(points)
+
+    monkeypatch.setattr(nt, "BKTree", Seen)
+    rng = np.random.default_rng(8)
+    n, key = 200, 50
+    size = rng.choice([1, 5, 60, 62, 66, 75, 78, 90, 200], n)
+    bits = rng.integers(0, 2**63, 20, dtype=np.uint64)[rng.integers(0, 20, n)] ^ rng.integers(0, 2**rng.integers(1, 40, n), dtype=np.uint64)
+    minima = [sorted({key, *rng.integers(0, 2000, 2).tolist()}) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([key] * n), pa.array(size, pa.int32()), pa.array(bits.view(np.int64)), pa.array(minima, pa.list_(pa.int64())), pa.array([i >= split for i in range(n)])],
+        ["key", "size", "bits", "minima", "second"])
+    got = [(i, j) for i, found in nt._pairs(batch, 0, n, 0.8) for j in found.tolist()]
+    fits = lambda i, j: (min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and not {x for x in minima[i] if x < key} & set(minima[j])
+                         and (min(size[i], size[j]) < nt.SCREENED or (int(bits[i]) ^ int(bits[j])).bit_count() <= nt.RADIUS))
+    assert got == [(i, j) for i in range(split) for j in range(i + 1 if split == n else split, n) if fits(i, j)]
+    assert sum(built) == len(np.unique(bits if split == n else bits[split:]))
+
+
 def test_stage_drops_near_copies(spark):
     import corpus_pipeline as c
 
