@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import itertools
+import os
 import random
 
 import pytest
@@ -98,6 +99,58 @@ def test_terminate_leaves_terminated_rows(spark, base):
     assert kept is m and again.count() == 1
 
 
+def test_places_of_all_properties(spark, base):
+    """Every feature's rows have a place, whatever their names; names and then ids count, nulls last."""
+    rows = [(1, 7, "b"), (2, 7, "a"), (3, 7, None), (4, 7, "a"), (5, 8, "x"), (None, 8, "x"), (6, None, "a"), (6, None, "a")]
+    m = make(spark, base, properties=[dict(id=i, feature_id=f, name=n) for i, f, n in rows])
+    got = [tuple(r) for r in h.sorted_properties(m.property).select("feature_id", "id", "name", "pos").collect()]
+    want = [(7, 2, "a", 1), (7, 4, "a", 2), (7, 1, "b", 3), (7, 3, None, 4), (8, 5, "x", 1), (8, None, "x", 2), (None, 6, "a", 1), (None, 6, "a", 2)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_sort_properties_takes_the_whole_table(spark, base):
+    from polisframe.plans import ORACLE, QUERIES
+    from tests.oracle import compare, connect
+
+    rows = QUERIES["sort_properties"](spark, SF)
+    assert rows.count() == base.property.count()
+    assert compare(connect(SF), ORACLE["sort_properties"], rows) == ""
+
+
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+
+
+def test_kept_rows_are_compressed_columns(spark):
+    from polisframe.runtime import checkpointed, ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = _bytes(folder)
+    df = spark.range(20_000, numPartitions=2).select("id", F.lit("the same text in every row").alias("t"), F.lit(None).cast("bigint").alias("n"))
+    kept = checkpointed(df)
+    assert (kept.dtypes, kept.count(), kept.agg(F.sum("id")).first()[0]) == (df.dtypes, 20_000, sum(range(20_000)))
+    assert _bytes(folder) - before < 200_000
+    laid = checkpointed(df.repartitionByRange(5, "id").sortWithinPartitions("id"), layout=True)
+    assert laid.select(F.spark_partition_id().alias("p"), "id").groupBy("p").agg((F.max("id") - F.min("id") + 1 == F.count("*")).alias("ok")).where("ok").count() == 5
+
+
+def test_drop_empty_keeps_ids_only(spark, base):
+    """What it writes between its steps doesn't grow with the values of the properties."""
+    from polisframe.runtime import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100_000))
+    p = [*edges((1, 2), (1, 3)), dict(id=8, feature_id=2, name="geometry", val_geometry_id=5), dict(id=9, feature_id=3, name="note", val_string=text)]
+    m = make(spark, base, features=feats(1, 2, 3), properties=p)
+    rows = m.property.withColumn("root_id", F.lit(1).cast("bigint"))
+    before = _bytes(folder)
+    assert ids(h.drop_empty(m, rows)) == [1, 8]
+    assert _bytes(folder) - before < 50_000
+
+
 def test_nested_is_one_tree_whatever_its_size(spark, base):
     """Cycles, shared features, nested attributes and a wide root; a second occurrence is a reference."""
     props = edges(*[(1, i) for i in range(2, 60)], (2, 1), (3, 61), (4, 61)) + [
