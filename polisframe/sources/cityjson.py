@@ -140,21 +140,23 @@ def cityjson_lines(m: CityModel, roots: DataFrame, precision: int = 3) -> tuple[
     attributes are all its values (several of one name become a list, nested ones an object), its parents and children those
     in the feature. Coordinates are rounded to ``precision`` decimals.
     """
-    edges = contains_edges(m).select("parent", F.col("child").alias("node_id")).distinct()
-    tree = closure(contains_edges(m), roots)
+    edges = checkpointed(contains_edges(m))
+    tree = closure(edges, roots, reuse_edges=False)
+    edges = edges.select("parent", F.col("child").alias("node_id"))
     names = m.objectclass.select(F.col("id").alias("objectclass_id"), "classname")
     features = m.feature.select("id", "objectid", "objectclass_id").join(names, "objectclass_id")
-    nodes = tree.join(features, tree["node_id"] == features["id"]).select("root_id", "node_id", "objectid", "classname")
+    # what the lines hold is written before it meets a whole table: a small part of a model then is sent to that table's tasks
+    nodes = checkpointed(tree.join(features, tree["node_id"] == features["id"]).select("root_id", "node_id", "objectid", "classname"))
     inside = nodes.select("root_id", "node_id", "objectid")
     up = inside.withColumnsRenamed({"node_id": "parent", "objectid": "parent_objectid"})
     pairs = inside.join(edges, "node_id").join(up, ["root_id", "parent"])  # of objects of one feature
     parents = pairs.groupBy("root_id", "node_id").agg(F.sort_array(F.collect_set("parent_objectid")).alias("parents"))
     children = pairs.groupBy("root_id", F.col("parent").alias("node_id")).agg(F.sort_array(F.collect_set("objectid")).alias("children"))
-    nodes = nodes.join(parents, ["root_id", "node_id"], "left").join(children, ["root_id", "node_id"], "left")
     attributes = _attribute_objects(m, nodes)
 
     templates = _used_templates(m, nodes)
     geometry = _geometry_objects(m, nodes, precision, templates)
+    nodes = nodes.join(parents, ["root_id", "node_id"], "left").join(children, ["root_id", "node_id"], "left")
     body = nodes.join(attributes, "node_id", "left").join(geometry["objects"], ["root_id", "node_id"], "left")
     objects = body.groupBy("root_id").agg(F.map_from_entries(F.collect_list(F.struct("objectid", F.struct(
         F.col("classname").alias("type"), "attributes", "parents", "children", "geometry")))).alias("CityObjects"))
@@ -182,11 +184,11 @@ def _geometry_objects(m: CityModel, nodes: DataFrame, precision: int, templates:
     """Geometry arrays per object and vertex arrays per line, placements of ``templates`` among them."""
     used = m.property.where("val_geometry_id is not null").select(
         F.col("feature_id").alias("node_id"), F.col("val_geometry_id").alias("gid"), "val_lod")
-    rows = nodes.select("root_id", "node_id").join(used, "node_id").join(_shapes(m), "gid")
+    rows = checkpointed(nodes.select("root_id", "node_id").join(used, "node_id")).join(_shapes(m), "gid")
     placed = m.property.where("val_implicitgeom_id is not null").select(
         F.col("feature_id").alias("node_id"), (-F.col("id")).alias("gid"), "val_lod", "val_implicitgeom_id", F.from_json("val_array", "array<double>").alias("matrix"),
         F.col("val_implicitgeom_refpoint").alias("p"))
-    placed = nodes.select("root_id", "node_id").join(placed, "node_id").join(templates.select("val_implicitgeom_id", F.col("val_lod").alias("_lod"), "template"), "val_implicitgeom_id").where(
+    placed = checkpointed(nodes.select("root_id", "node_id").join(placed, "node_id")).join(templates.select("val_implicitgeom_id", F.col("val_lod").alias("_lod"), "template"), "val_implicitgeom_id").where(
         F.col("val_lod").eqNullSafe(F.col("_lod"))).drop("_lod", "val_implicitgeom_id")
     return _boundaries(rows, placed, precision)
 
