@@ -122,7 +122,9 @@ class Seats:
         score[small] += self.exact[customers[small], :reach]
         if not small.all():
             row, f = self._row(customers[~small])
-            score[~small] += (1 - f)[:, None] * self.few[row, :reach] + f[:, None] * self.few[row + 1, :reach]
+            few = min(reach, FEW)  # such rows reach no further, others of the block may
+            score[~small, :few] += (1 - f)[:, None] * self.few[row, :few] + f[:, None] * self.few[row + 1, :few]
+            score[~small, few:] = -np.inf
         sums = np.cumsum(np.exp(score - score.max(axis=1, keepdims=True)), axis=1)
         return 1 + np.minimum((sums < u[:, None] * sums[:, -1:]).sum(axis=1), reach - 1)
 

@@ -17,7 +17,7 @@ from polisframe.llm.license_scan import scan
 from polisframe.llm.license_sql import SCAN_SQL
 from polisframe.llm.order_minhash import KMER, chained, edited_text, hex_of, sketch
 from polisframe.llm.packing import differencing, pack, windows_of
-from polisframe.llm.pitman_yor import CONTEXTS, Totals, head_of, score_texts, tokens_of, train
+from polisframe.llm.pitman_yor import CONTEXTS, Totals, head_of, learn, score_texts, tokens_of, train
 from polisframe.llm.seating import Seats, log_stirling
 from polisframe.llm.token_count import count_tokens
 from tests.llm.conftest import WORDS
@@ -184,6 +184,15 @@ def test_seating(discount, a):
     assert (seats.draw(np.full(9, 1), np.full(9, 5.0), mix64(np.arange(9))) == 1).all()
 
 
+def test_seats_of_unlike_groups():
+    """One call for groups with up to 512 customers and many tables, and groups of a million with few."""
+    seats, n = Seats(0.5), 4000
+    customers, a = np.tile([400, 10**6], n), np.tile([300.0, 2.0], n)
+    drawn = seats.draw(customers, a, mix64(np.arange(2 * n)))
+    alone = [seats.draw(customers[i::2], a[i::2], mix64(np.arange(2 * n))[i::2]) for i in (0, 1)]
+    assert (drawn[0::2] == alone[0]).all() and (drawn[1::2] == alone[1]).all()
+
+
 def plain_seating(context, word, words, totals, sweeps):
     """Predictive probabilities [context, word] of customers that leave and sit down one by one; the last word is unknown."""
     rng = random.Random(4)
@@ -259,6 +268,47 @@ def test_scores_against_plain_seating(spark):
     assert all(got[i] == pytest.approx(want[i], rel=0.1) for i in got)
 
 
+def test_word_contexts(spark):
+    """Words of one class (equal endings) have followers of their own; scores are those of the model's rows, looked up one by one."""
+    rows = [(i, " ".join(rng.choice(("baking flour", "biking tyres", "baking flour sugar", "biking tyres pump")) for _ in range(12))) for i in range(60)
+            for rng in [random.Random(i)]] + [(None, "baking pump odd"), (60, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs, seated, totals = learn(frame.fillna("", "text"), words=True)
+    followed = {(r["before"], r["key"]): (r["n"], r["tables"]) for r in pairs.collect()}
+    words = {r["key"]: r for r in seated.collect()}
+    for before, r in words.items():
+        own = [x for (u, _), x in followed.items() if u == before]
+        assert (sum(n for n, _ in own), sum(t for _, t in own)) == (r["total"], r["follow"])
+        assert all(1 <= t <= n for n, t in own)
+    for k in range(CONTEXTS):  # the classes' customers are the pairs' tables
+        assert sum(r["n"][r["context"].index(k)] for r in words.values() if k in r["context"]) == totals.customers[k]
+
+    def chance(word, before, context):
+        r = words.get(word)
+        at = r["context"].index(context) if r and context in r["context"] else None
+        parent = totals.parent(sum(r["tables"]), r["parent_tables"]) if r else totals.parent(0, 0)
+        below = totals.predict(r["n"][at] if at is not None else 0, r["tables"][at] if at is not None else 0, context, parent)
+        u = words.get(before)
+        n, t = followed.get((before, word), (0, 0))
+        return (n - totals.pair_discount * t + (1 + totals.pair_discount * (u["follow"] if u else 0)) * below) / (1 + (u["total"] if u else 0))
+
+    kind = {}
+    want = {}
+    for i, text in rows:
+        t = tokens_of([text or ""])
+        keys = t.keys.view(np.int64).tolist()
+        kind |= {keys[b]: c for b, c in zip(t.before.tolist(), t.context.tolist(), strict=True)}
+        want[i] = sum(math.log10(chance(keys[w], keys[b], c)) for w, b, c in zip(t.word.tolist(), t.before.tolist(), t.context.tolist(), strict=True))
+    for before in words:
+        assert sum(chance(w, before, kind[before]) for w in [*words, None]) == pytest.approx(1, abs=1e-6)
+    for most in ({}, {"head": 3, "pairs": 2}):  # by the arrays, and by the shuffle
+        got = {r["doc_id"]: r["score"] for r in score_texts(frame, words=True, **most).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
+    held = [i for i, t in rows if i is not None and t and zlib.crc32(str(i).encode()) % 7 == 2]
+    classes = {r["doc_id"]: r["score"] for r in score_texts(frame).collect()}
+    assert held and sum(want[i] for i in held) > 0.85 * sum(classes[i] for i in held)
+
+
 @pytest.mark.parametrize("operator", [
     lambda d: count_tokens(d, public_tokenizers.path("word_bpe_49k.json")), lambda d: pack(d, public_tokenizers.path("byte_bpe_50k.json")), chained, score_texts])
 def test_no_documents(none, operator):
