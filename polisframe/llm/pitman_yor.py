@@ -225,7 +225,7 @@ def _gains(batches: Iterator[pa.RecordBatch], totals: Totals) -> Iterator[pa.Rec
         key, before = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "before"))
         own = batch.column("n").to_numpy() - totals.pair_discount * batch.column("tables").to_numpy()
         gain = np.log10(1 + own / (totals.open_pair(batch.column("follow").to_numpy()) * batch.column("chance").to_numpy()))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(key, before).view(np.int64)), batch.column("n"), pa.array(gain)], ["pair", "n", "gain"])
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(key, before).view(np.int64)), batch.column("n"), pa.array(gain.astype(np.float32))], ["pair", "n", "gain"])
 
 
 def _met_pairs(pairs: DataFrame, seated: DataFrame, totals: Totals) -> DataFrame:
@@ -240,7 +240,7 @@ def learn(docs: DataFrame, words: bool) -> tuple[DataFrame, DataFrame, Totals]:
     Without ``words`` the classes are the only contexts: a pair has as many tables as customers, which is a discount of one.
     """
     counted = docs.mapInArrow(_counts, "key bigint, before bigint, context int, n bigint").groupBy("key", "before", "context").agg(F.sum("n").alias("n"))
-    pairs = stored(counted.withColumn("tables", F.lit(1).cast("bigint") if words else F.col("n")))
+    pairs = once = stored(counted.withColumn("tables", F.lit(1).cast("bigint") if words else F.col("n")), release=True)
     kinds = [F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")]
     pair_discount = _discount(*pairs.agg(*kinds).first()) if words else 1.0
     seated, totals, seats = None, None, None
@@ -249,10 +249,10 @@ def learn(docs: DataFrame, words: bool) -> tuple[DataFrame, DataFrame, Totals]:
             now = totals
             many = _met_pairs(pairs.where("n > 1"), seated, now)
             drawn = many.mapInArrow(lambda b, now=now, i=i: _pair_tables(b, now, seats.value[2], i), pairs.schema)
-            pairs = stored(drawn.unionByName(pairs.where("n = 1")))
+            pairs = stored(drawn, release=True).unionByName(once.where("n = 1"))
         summed = pairs.groupBy("key", "context").agg(F.sum("tables").alias("n"), F.sum("n").alias("tokens"))
         own = pairs.groupBy(F.col("before").alias("key")).agg(F.lit(-1).alias("context"), F.sum("tables").alias("n"), F.lit(0).cast("bigint").alias("tokens"))
-        dishes = stored(summed.unionByName(own).repartition("key").sortWithinPartitions("key", "context").mapInArrow(_dishes, _DISH))
+        dishes = stored(summed.unionByName(own).repartition("key").sortWithinPartitions("key", "context").mapInArrow(_dishes, _DISH), release=True)
         classes = dishes.select(F.explode(F.arrays_zip("context", "n")).alias("p")).groupBy("p.context").agg(
             F.sum("p.n").alias("c"), F.count("*").alias("d"), F.count_if(F.col("p.n") == 1).alias("ones"), F.count_if(F.col("p.n") == 2).alias("twos")).collect()
         customers, tables = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
@@ -371,12 +371,12 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, totals: Totals) -> Iterat
             pa.array(np.concatenate([mix64(rows.astype(np.uint64)), t.keys[word], pair[of_pair]]).view(np.int64)),
             pa.array(np.concatenate([np.full(n, DOCUMENT), code % CONTEXTS, np.full(len(times), PAIR)]).astype(np.int32)),
             pa.array(np.concatenate([rows, rows[of], rows[with_pair]])), pa.array(np.concatenate([np.ones(n, np.int64), often, times]).astype(np.int32)),
-            pa.concat_arrays([pa.array(packed, pa.binary()), pa.nulls(m, pa.binary())]), pa.nulls(n + m, pa.float64())],
+            pa.concat_arrays([pa.array(packed, pa.binary()), pa.nulls(m, pa.binary())]), pa.nulls(n + m, pa.float32())],
             ["key", "tag", "row", "n", "payload", "gain"])
         row += n
 
 
-_MET = "key bigint, tag int, row bigint, n int, payload binary, gain double"
+_MET = "key bigint, tag int, row bigint, n int, payload binary, gain float"
 
 
 def _model_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +388,7 @@ def _model_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload.append(np.array(own, np.float64).tobytes() + np.concatenate([context, n, tables]).astype(np.float64).tobytes())
         size = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.full(size, MODEL, np.int32)), pa.nulls(size, pa.int64()),
-                                          pa.nulls(size, pa.int32()), pa.array(payload, pa.binary()), pa.nulls(size, pa.float64())],
+                                          pa.nulls(size, pa.int32()), pa.array(payload, pa.binary()), pa.nulls(size, pa.float32())],
                                          ["key", "tag", "row", "n", "payload", "gain"])
 
 
@@ -473,7 +473,7 @@ def score_texts(docs: DataFrame, head: int = HEAD, pairs: int = PAIRS, words: bo
     top, at_least = head_of(seated, totals, head)
     often, gain = None, None
     if words:
-        gains = stored(_met_pairs(counted, seated, totals).mapInArrow(lambda b: _gains(b, totals), "pair bigint, n bigint, gain double"))
+        gains = stored(_met_pairs(counted, seated, totals).mapInArrow(lambda b: _gains(b, totals), "pair bigint, n bigint, gain float"), release=True)
         often, gain, least_pair = frequent_pairs(gains, pairs)
     shared = docs.sparkSession.sparkContext.broadcast((top, often, gain))  # bounded by ``head`` and ``pairs``
     rows = texts.mapInArrow(lambda b: _scored(b, shared, totals), _MET)
