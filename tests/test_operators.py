@@ -99,6 +99,20 @@ def test_terminate_leaves_terminated_rows(spark, base):
     assert kept is m and again.count() == 1
 
 
+def test_small_partitions_are_hashed_not_sorted(spark, base, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = make(spark, base, [dict(id=k, objectclass_id=20, objectid=f"o{k}") for k in range(1, 9)])
+        done, _ = rm.terminate(m, m.feature.where("id < 4").select("id"), F.lit(dt.datetime(2024, 6, 1)), sub_features=False)
+        ended = done.feature.select("id", "termination_date")
+        assert {r["id"] for r in ended.collect() if r["termination_date"] is not None} == {1, 2, 3}
+        capsys.readouterr()
+        ended.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in capsys.readouterr().out.split("Initial Plan")[0]
+
+
 def test_places_of_all_properties(spark, base):
     """Every feature's rows have a place, whatever their names; names and then ids count, nulls last."""
     rows = [(1, 7, "b"), (2, 7, "a"), (3, 7, None), (4, 7, "a"), (5, 8, "x"), (None, 8, "x"), (6, None, "a"), (6, None, "a")]
