@@ -113,6 +113,21 @@ def test_small_partitions_are_hashed_not_sorted(spark, base, capsys):
     assert "ShuffledHashJoin" in capsys.readouterr().out.split("Initial Plan")[0]
 
 
+def test_rows_that_meet_nothing_are_dropped_before_the_shuffle(spark, base, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        schema = CityModel(spark).property.schema
+        rows = spark.range(3_000_000).select(*[F.col("id") if f.name in ("id", "feature_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "feature_id"],
+                                             F.when(F.col("id") > 0, F.col("id")).alias("feature_id"))
+        found = h.properties_of(base.replace(property=rows), spark.range(100_000).where("id % 20000 = 7"))
+        assert ids(found) == [7, 20007, 40007, 60007, 80007]
+        capsys.readouterr()
+        found.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "might_contain" in capsys.readouterr().out
+
+
 def test_places_of_all_properties(spark, base):
     """Every feature's rows have a place, whatever their names; names and then ids count, nulls last."""
     rows = [(1, 7, "b"), (2, 7, "a"), (3, 7, None), (4, 7, "a"), (5, 8, "x"), (None, 8, "x"), (6, None, "a"), (6, None, "a")]
