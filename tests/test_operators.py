@@ -128,6 +128,19 @@ def test_rows_that_meet_nothing_are_dropped_before_the_shuffle(spark, base, caps
     assert "might_contain" in capsys.readouterr().out
 
 
+def test_methods_that_the_jvm_does_not_compile_are_not_fused(spark, base):
+    """HotSpot interprets methods of more than 8,000 bytes; placing templates inside an aggregate is one of them."""
+    placed = [dict(id=k, feature_id=k, val_implicitgeom_id=1, val_array="[0,2,0,1,-1,0,0,2,0,0,1,3,0,0,0,1]", val_implicitgeom_refpoint=[10.0 * k, 0.0, 1.0]) for k in (1, 2)]
+    like = CityModel(spark)
+    frame = lambda name, row: spark.createDataFrame([{f.name: row.get(f.name) for f in like.table(name).schema}], SCHEMAS[name])
+    ring = [[0.0, 0.0, 0.0], [3.0, 0.0, 0.0], [3.0, 5.0, 1.0], [0.0, 0.0, 0.0]]
+    m = make(spark, base, feats(1, 2), placed).replace(
+        implicit_geometry=frame("implicit_geometry", dict(id=1, relative_geometry_id=9)), geometry_data=frame("geometry_data", dict(id=9, primitives=[[ring]])))
+    boxes = {r["feature_id"]: tuple(r["envelope"]) for r in h.own_envelopes(m).collect()}
+    assert boxes == {k: (10.0 * k + 1, -1.0, 4.0, 10.0 * k + 11, 2.0, 5.0) for k in (1, 2)}
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_places_of_all_properties(spark, base):
     """Every feature's rows have a place, whatever their names; names and then ids count, nulls last."""
     rows = [(1, 7, "b"), (2, 7, "a"), (3, 7, None), (4, 7, "a"), (5, 8, "x"), (None, 8, "x"), (6, None, "a"), (6, None, "a")]
