@@ -193,6 +193,42 @@ def test_drop_empty_keeps_ids_only(spark, base):
     assert _bytes(folder) - before < 50_000
 
 
+def _painted(spark, base):
+    """Three features, of which 2 has lost its geometry, and appearances of what they have: 1 by its template, 3 by its geometry."""
+    def frame(name, *rows):
+        like = CityModel(spark).table(name)
+        return spark.createDataFrame([{f.name: r.get(f.name) for f in like.schema} for r in rows], SCHEMAS[name])
+    held = [dict(id=10 + i, feature_id=i, name="appearance", val_appearance_id=a) for i, a in ((1, 1), (2, 2), (3, 3), (1, 4))]
+    p = [*edges((1, 2), (1, 3)), dict(id=8, feature_id=3, name="geometry", val_geometry_id=5), *held[:3], dict(held[3], id=14), dict(id=9, feature_id=1, name="shape", val_implicitgeom_id=7)]
+    square = [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]]
+    shape = lambda i: dict(id=i, geometry_type=5, nodes=[dict(type=5, object_id=f"G_{i}", parent=None, geometry_index=0, is_reversed=None)], primitives=square)
+    paint = lambda data, shape, key=None: dict(surface_data_id=data, geometry_data_id=shape, material_mapping=json.dumps({key or f"G_{shape}": True}))
+    return make(spark, base, feats(1, 2, 3), p).replace(
+        geometry_data=frame("geometry_data", shape(4), shape(5), shape(6)), implicit_geometry=frame("implicit_geometry", dict(id=7, relative_geometry_id=6)),
+        appearance=frame("appearance", *[dict(id=i, theme=f"t{i}") for i in (1, 2, 3, 4, 5)]), surface_data=frame("surface_data", *[dict(id=i) for i in (21, 22, 23, 24, 25)]),
+        appear_to_surface_data=frame("appear_to_surface_data", *[dict(id=i, appearance_id=i, surface_data_id=20 + i) for i in (1, 2, 3, 4)], dict(id=5, appearance_id=3, surface_data_id=25)),
+        # 22 paints what feature 2 has lost, 24 a surface that is not there
+        surface_data_mapping=frame("surface_data_mapping", paint(21, 6), paint(22, 4), paint(23, 5), paint(24, 5, "G_gone")))
+
+
+def test_drop_empty_takes_appearances_without_surface_data(spark, base):
+    m = _painted(spark, base)
+    rows = h.drop_empty(m, m.property.withColumn("root_id", F.lit(1).cast("bigint")))
+    assert ids(rows) == [2, 8, 9, 11, 13]
+    data, appearances = h.drop_empty_surface_data(h.map_surface_data(m, rows), m)
+    assert sorted((r.root_id, r.id) for r in data.collect()) == [(1, 21), (1, 23)]
+    assert sorted((r.root_id, r.id) for r in appearances.collect()) == [(1, 1), (1, 3)]
+
+
+def test_drop_empty_query_has_surface_data_and_appearances(spark):
+    from polisframe.plans import ORACLE, QUERIES
+    from tests.oracle import compare, connect
+
+    rows = QUERIES["drop_empty"](spark, SF)
+    assert ids(rows.select("table_name").distinct(), "table_name") == ["appearance", "property", "surface_data"]
+    assert compare(connect(SF), ORACLE["drop_empty"], rows) == ""
+
+
 def test_nested_is_one_tree_whatever_its_size(spark, base):
     """Cycles, shared features, nested attributes and a wide root; a second occurrence is a reference."""
     props = edges(*[(1, i) for i in range(2, 60)], (2, 1), (3, 61), (4, 61)) + [
