@@ -159,7 +159,8 @@ def _attributes(owned: DataFrame) -> DataFrame:
             level = level.join(inner, [*member, "key"], "left")
             level = level.withColumns({"json": F.coalesce(F.when(F.col("generic"), F.col("own_value")).otherwise(F.col("object")), "json"),
                                        "name": F.when(F.col("generic") & F.col("own_name").isNotNull(), F.col("own_name")).otherwise(F.col("name")), "uom": F.coalesce("uom", "own_uom")})
-        entries = level.where("json is not null").select(*member, "key", "parent", "name", "json", "path", "text", "uom")
+        # written once a level: it is read several times below, and a plan that held each level's plan as often would double with every level
+        entries = checkpointed(level.where("json is not null").select(*member, "key", "parent", "name", "json", "path", "text", "uom"))
         above = entries.where("parent is null")
         top = above if top is None else top.unionByName(above)
         held = entries.where("parent is not null")

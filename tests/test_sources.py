@@ -135,6 +135,21 @@ def test_citygml_keeps_text_units_and_inner_elements(spark, tmp_path):
     assert rows["B2"].attributes is None and rows["B2"].geometries == []
 
 
+def test_citygml_plans_grow_in_step_with_the_depth_of_attributes(spark, tmp_path):
+    """Each level of attributes is read from what was written of it; a plan that held the levels below twice would double with every level."""
+    def tables_read(depth):
+        inner = "".join(f"<core:a{i}>" for i in range(depth)) + "7" + "".join(f"</core:a{i}>" for i in reversed(range(depth)))
+        (tmp_path / f"d{depth}.gml").write_text(f'<core:CityModel><core:cityObjectMember><own:Order gml:id="o">{inner}</own:Order></core:cityObjectMember></core:CityModel>')
+        rows = citygml.read_elements(spark, str(tmp_path / f"d{depth}.gml"), "core:cityObjectMember").where("not is_object and owner is not null")
+        out = citygml._attributes(rows.withColumn("objectid", citygml._id_at(F.col("owner"))))
+        (row,) = out.select(F.to_json("attributes").alias("a")).collect()
+        assert row.a == "".join(f'{{"a{i}":' for i in range(depth)) + "7" + "}" * depth
+        return out._jdf.queryExecution().analyzed().toString().count("Relation")
+
+    few, many = tables_read(2), tables_read(6)
+    assert many <= 3 * few
+
+
 def test_citygml_round_trip(spark, m, roots, tmp_path):
     citygml.write_citygml(m, roots, str(tmp_path / "out"), files=3)
     back = citygml.read_citygml(spark, str(tmp_path / "out") + "/*/part*")
